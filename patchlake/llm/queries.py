@@ -8,7 +8,9 @@ from .common import table
 from .decontaminate import find_leaks
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .secret_scan import scan_secrets
+from .substring_dedup import remove_repeats
 from .url_filter import filter_urls
 
 
@@ -29,6 +31,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -38,6 +48,8 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
