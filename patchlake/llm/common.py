@@ -51,23 +51,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set one only where none is named.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; one is set only where none is named.
 
-    A session that names ``spark.checkpoint.dir`` gets exactly that folder. A
-    session without it is a local one (tests), where a temporary folder is shared
-    by driver and executors.
+    A session that names ``spark.checkpoint.dir`` gets exactly that folder. A session without
+    it is a local one (tests), where a temporary folder is shared by driver and executors.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "patchlake-checkpoints"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "patchlake-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

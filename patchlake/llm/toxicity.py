@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,6 +174,19 @@ def _scored(model, threshold: float):
     return run
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are scored below ``threshold``."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **how))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(model.value.weights, model.value.bias)
+        for batch in batches:
+            keep = [own.score(t) < threshold for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **how))
