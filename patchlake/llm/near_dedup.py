@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import LOWER, UPPER, checkpoint
 
-SHINGLE, BANDS, ROWS, BITS = 5, 32, 6, 512
+SHINGLE, BANDS, ROWS, BITS = 5, 22, 5, 512
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DOWN = str.maketrans(UPPER, LOWER)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -60,14 +60,15 @@ def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
 
 
 def _coefficients(n: int) -> np.ndarray:
-    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * _MIX[0]) | np.uint64(1)
+    return (_mixed(np.arange(1, n + 1, dtype=np.uint64) * _MIX[0]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def minhash(s: np.ndarray, a: np.ndarray, step: int = 2048) -> np.ndarray:
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+def minhash(s: np.ndarray, a: np.ndarray, step: int = 1024) -> np.ndarray:
+    """Samples of a set, by 32-bit products, which numpy makes several at a time."""
+    high, low = (s >> np.uint64(32)).astype(np.uint32), np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(s), step):
-        np.minimum(low, (s[None, i : i + step] * a[:, None]).min(axis=1), out=low)
-    return low
+        np.minimum(low, (high[None, i : i + step] * a[:, None]).min(axis=1), out=low)
+    return low.astype(np.uint64)
 
 
 SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_hi", T.LongType()), T.StructField("set_lo", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
@@ -115,20 +116,19 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable from each of ``nodes`` over ``links`` (a, b)."""
-    links = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    met = checkpoint(links)
-    label = checkpoint(nodes.select("id").distinct().select("id", F.col("id").alias("component")))
+def connected(links: DataFrame) -> DataFrame:
+    """(id, component): the smallest id reachable from each id in ``links`` (a, b)."""
+    met = checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = met.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component"))
     while True:
-        near = met.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
-        step = label.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("low", "component")).alias("component"))
-        # pointer jumping: a label that is itself labelled lower is followed at once
-        up = step.select(F.col("id").alias("component"), F.col("component").alias("upper"))
-        new = checkpoint(step.join(up, "component", "left").select("id", "was", F.least("component", F.coalesce("upper", "component")).alias("component")))
-        moved = new.filter("was <> component").limit(1).count()
-        label = new.select("id", "component")
-        if not moved:
+        # a label that is itself labelled lower is followed twice before each look at the neighbours
+        for _ in range(2):
+            label = label.join(label.toDF("component", "upper"), "component").select("id", F.col("upper").alias("component"))
+        label = checkpoint(label)
+        near = met.join(label.toDF("b", "low"), "b").groupBy(F.col("a").alias("id")).agg(F.min("low").alias("low"))
+        step = checkpoint(label.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "low").alias("component")))
+        label = step.select("id", "component")
+        if step.filter("was <> component").isEmpty():
             return label
 
 
@@ -161,35 +161,50 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands:
     banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = checkpoint(banded.join(sizes.select("band", "key"), ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "id"))
+    n_buckets = buckets.count()
     sketches = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     most = _most_bits(percent, bands * rows, bits)
-    label = buckets.select("id").distinct().select("id", F.col("id").alias("component"))
-    links = tried = None
-    live, n_pivots = buckets, 1
+    label = None  # of the ids in links alone
+    own_label = lambda df: df.withColumn("component", F.col("id")) if label is None else df.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    live, n_pivots, tried = buckets, 1, None
     while True:
-        # each bucket's members meet the smallest of those that were not a pivot before
-        by = Window.partitionBy("bucket").orderBy("id")
-        ranked = live.withColumn("rank", F.row_number().over(by))
-        pivots = ranked.filter(F.col("rank") <= n_pivots).select("bucket", F.col("id").alias("a"))
-        pairs = live.join(pivots, "bucket").filter("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = pairs.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").filter("ca <> cb").select("a", "b")
+        if n_pivots == 1:
+            pivots = live.groupBy("bucket").agg(F.min("id").alias("a"))
+            pairs = live.join(pivots, "bucket").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+        else:
+            placed = checkpoint(own_label(live))
+            apart = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
+            apart = apart.filter("pairs > 0")
+            total = apart.groupBy().agg(F.sum("pairs").alias("pairs"), F.count("*").alias("n")).first()
+            if not total["n"]:
+                break
+            all_at_once = total["pairs"] <= 8 * n_buckets + 100_000
+            placed = placed.join(apart.select("bucket"), "bucket")
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+            ranked = placed if all_at_once else checkpoint(placed.withColumn("rank", rank))
+            pivots = ranked if all_at_once else ranked.filter(F.col("rank") <= n_pivots)
+            met = ranked.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb")).join(pivots.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca")), "bucket").filter("ca <> cb")
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         sized = pairs.join(sketches.toDF("a", "n_a", "s_a"), "a").join(sketches.toDF("b", "n_b", "s_b"), "b")
-        likely = sized.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_xor_bits("s_a", "s_b") <= most)).select("a", "b")
-        likely = checkpoint(likely)
-        if likely.limit(1).count():
-            with_text = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-            found = checkpoint(with_text.mapInPandas(_confirm(k, percent), "a long, b long, linked boolean").filter("linked").select("a", "b"))
-            links = found if links is None else checkpoint(links.union(found))
-            label = connected(buckets.select("id"), links)
-        tried = checkpoint(likely if tried is None else tried.union(likely))
-        # the pivots have met all of their bucket; they leave, and so do buckets that have become one component
-        rest = ranked.filter(F.col("rank") > n_pivots).select("bucket", "id")
-        split = rest.join(label, "id").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        live = checkpoint(rest.join(split.select("bucket"), "bucket"))
-        if not live.limit(1).count():
+        likely = checkpoint(sized.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_xor_bits("s_a", "s_b") <= most)).select("a", "b"))
+        with_text = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        found = with_text.mapInPandas(_confirm(k, percent), "a long, b long, linked boolean").filter("linked").select("a", "b")
+        # what is linked already counts as its component, so each round's graph is small
+        if label is None:
+            label = connected(found)
+        else:
+            joined = own_label(own_label(found.withColumnRenamed("a", "id")).select(F.col("component").alias("a"), F.col("b").alias("id"))).select("a", F.col("component").alias("b"))
+            upper = connected(joined).toDF("component", "upper")
+            named = label.unionByName(upper.select(F.col("component").alias("id"), "component").join(label.select("id"), "id", "left_anti"))
+            label = checkpoint(named.join(upper, "component", "left").select("id", F.coalesce("upper", "component").alias("component")))
+        if n_pivots > 1 and all_at_once:
             break
-        n_pivots *= 4
+        tried = likely if tried is None else tried.union(likely)
+        # the pivots have met all of their bucket and leave
+        if n_pivots > 1:
+            live = ranked.filter(F.col("rank") > n_pivots).select("bucket", "id")
+        else:
+            live = live.join(pivots, "bucket").filter("id <> a").select("bucket", "id")
+        n_pivots *= 8
     found = members.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
