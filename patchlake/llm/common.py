@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,3 +79,10 @@ def join_by_size(left: DataFrame, right: DataFrame, on: Iterable[str], how: str,
     """
     small = right.limit(limit + 1).count() <= limit
     return left.join(F.broadcast(right) if small else right, list(on), how)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a compressed table in the shared folder, for what is too large to checkpoint as rows."""
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

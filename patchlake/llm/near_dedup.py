@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, checkpoint
+from .common import LOWER, UPPER, checkpoint, stored
 
 SHINGLE, BANDS, ROWS, BITS = 5, 22, 5, 512
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands:
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     texts = own
     signed = own.mapInPandas(_signatures(k, bands, rows, bits), SIGNATURE)
-    signed = checkpoint(signed)
+    signed = stored(signed)
     one = signed.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_hi", "set_lo")).alias("s")).select("doc_id", "s.*")
     classes = one.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
     members = checkpoint(one.join(classes, ["set_hi", "set_lo"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))

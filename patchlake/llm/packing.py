@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_partitions
+from .common import shuffle_partitions, stored
 
 CAPACITY, END, CACHED = 4096, 2, 250_000
 
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer_pa
     """(doc_id, start, length, ids_crc32, doc_tokens, [ids,] sequence_id, offset), a row for each piece."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    pieces = checkpoint(docs.select("doc_id", "text").mapInPandas(_pieces(capacity, end, tokenizer_path, with_ids), schema))
+    pieces = stored(docs.select("doc_id", "text").mapInPandas(_pieces(capacity, end, tokenizer_path, with_ids), schema))
     buckets = shuffle_partitions(docs.sparkSession)
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     counted = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))

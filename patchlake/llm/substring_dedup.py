@@ -6,8 +6,10 @@ move many times the input, so positions enter the rounds as late as they can and
 as soon as their rank is unique:
 
 1. offset 0: of all strings of ``size`` bytes, each picks the ``seed``-byte piece of least hash
-   within it, so equal strings pick equal pieces at equal places. The picked places (about one in
-   forty bytes) are sorted by the piece's rank; unique ones leave.
+   within it, so equal strings pick equal pieces at equal places. Every picked place has a rank
+   that takes in about half of ``size``: the bytes up to the piece for the strings that hold
+   it in their second half, those from it on for the others. Places are sorted by rank, about
+   one for thirty bytes; unique ones leave.
 2. the rank is paired with that of all bytes that the strings around the piece may reach, to
    either side. Places whose pair agrees with an earlier one are repeats as a whole; where
    all of a piece's places agree, the first leaves.
@@ -19,9 +21,9 @@ Ranks are 64-bit fingerprints rather than dense numbers, so the rank at an offse
 the text itself and needs no join; round 3 compares 128 bits.
 
 Defined cases: null texts are empty; texts shorter than ``size`` bytes keep all; null doc_ids
-sort before others; rows that repeat a doc_id count as one document each, in order of their text's
-hash, and rows that repeat both are the same document (repeats in neither); other columns
-are ignored.
+sort before others; rows that repeat a doc_id count as one document each, in order of 15 bits
+of their text's hash, and those that agree there too as the same document (no repeats of each
+other); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import stored
 
-SIZE, SEED, CHUNK = 100, 24, 1 << 20
+SIZE, SEED, CHUNK = 100, 8, 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -104,8 +106,19 @@ def places(raw: bytes, size: int = SIZE, seed: int = SEED, chunk: int = CHUNK) -
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:] - 1, len(at) - 1]
         place = at[first]
-        around = prints.at(first, last + size) + (place - first).astype(np.uint64) * _M1 + (last - first).astype(np.uint64) * _M2
-        yield h[place], _mixed(around), base + first, base + last
+        half = (size - seed) // 2
+        # strings that start by ``place - half`` hold that many bytes before the piece; the others hold as many after it
+        parts = []
+        left, right = first <= place - half, last > place - half
+        for some, a, e, at_a, at_e in (
+            (left, first, np.minimum(last, place - half), place - half, place + seed),
+            (right, np.maximum(first, place - half + 1), last, place, place + size - half + 1),
+        ):
+            a, e, q = a[some], e[some], place[some]
+            piece = prints.at(at_a[some], at_e[some]) + np.uint64(at_a is place)
+            around = prints.at(a, e + size) + (q - a).astype(np.uint64) * _M1 + (e - a).astype(np.uint64) * _M2
+            parts.append((piece, _mixed(around) >> np.uint64(24), base + a, base + e))
+        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -178,8 +191,8 @@ def _cut(size: int):
 
 def repeated_ranges(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
     """(doc_id, tie, first, last): starts first..last of strings that also start earlier."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    places_ = own.mapInPandas(_picked(size, seed), f"piece long, around long, doc_id {own.schema['doc_id'].dataType.simpleString()}, tie long, first long, last long")
+    own = docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(32768)).cast("int").alias("tie"), "text")
+    places_ = own.mapInPandas(_picked(size, seed), f"piece long, around long, doc_id {own.schema['doc_id'].dataType.simpleString()}, tie int, first long, last long")
     key = ["doc_id", "tie", "first"]
     by_piece = Window.partitionBy("piece").orderBy("around", *key)
     of_piece = by_piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -188,12 +201,12 @@ def repeated_ranges(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> Data
     ranked = places_.select("*", F.first("around").over(of_piece).alias("low"), F.last("around").over(of_piece).alias("high"))
     ranked = ranked.withColumn("nth", F.row_number().over(by_pair)).filter("low <> high OR nth > 1")
     ranked = ranked.select(*key, "last", (F.col("nth") > 1).alias("repeat")).distinct()
-    ranked = checkpoint(ranked)
+    ranked = stored(ranked)
     open_ = ranked.filter("NOT repeat").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     ident = lambda a, b: a["doc_id"].eqNullSafe(b["_id"]) & (a["tie"] == b["_tie"])
     named = open_.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
     asked = own.join(named, ident(own, named)).select("doc_id", "tie", "text", "ranges").dropDuplicates(["doc_id", "tie"])
-    starts = asked.mapInPandas(_starts(size), f"low long, high long, doc_id {own.schema['doc_id'].dataType.simpleString()}, tie long, start long")
+    starts = asked.mapInPandas(_starts(size), f"low long, high long, doc_id {own.schema['doc_id'].dataType.simpleString()}, tie int, start long")
     nth = F.row_number().over(Window.partitionBy("low", "high").orderBy("doc_id", "tie", "start"))
     again = starts.withColumn("nth", nth).filter("nth > 1").select("doc_id", "tie", F.col("start").alias("first"), F.col("start").alias("last"))
     return ranked.filter("repeat").select("doc_id", "tie", "first", "last").unionByName(again)
@@ -201,7 +214,7 @@ def repeated_ranges(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> Data
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans), a row for each row of ``docs``."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    own = docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(32768)).cast("int").alias("tie"), "text")
     of_doc = repeated_ranges(docs, size, seed).groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     met = own.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").select("doc_id", "text", "ranges")
     return met.mapInPandas(_cut(size), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
