@@ -136,31 +136,33 @@ def unquote_path(c: Column) -> Column:
     return F.when(quoted, F.decode(F.unhex(F.array_join(F.transform(parts, as_hex), "")), "UTF-8")).otherwise(c)
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once: a bound variable, not a copy for each mention."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def clean_path(raw: Column) -> Column:
-    return unquote_path(F.substring_index(strip(raw), "\t", 1))
+    return let(F.substring_index(strip(raw), "\t", 1), lambda c: F.when(c.startswith('"'), unquote_path(c)).otherwise(c))
+
+
+def stripped_path(clean: Column) -> Column:
+    """A cleaned path without its a/ or b/; null for /dev/null and for none."""
+    return F.when(clean == "/dev/null", None).when(clean.rlike("^[ab]/"), F.substring(clean, F.lit(3), F.length(clean))).otherwise(F.nullif(clean, F.lit("")))
 
 
 def normal_path(raw: Column) -> Column:
-    """A path of a diff without its a/ or b/; null for /dev/null and for none."""
-    c = clean_path(raw)
-    return F.when(c == "/dev/null", None).when(c.rlike("^[ab]/"), F.substring(c, F.lit(3), F.length(c))).otherwise(F.nullif(c, F.lit("")))
+    return let(clean_path(raw), stripped_path)
 
 
-def is_diff_path(raw: Column) -> Column:
-    c = clean_path(raw)
-    return (c == "/dev/null") | c.rlike("^[ab]/")
+def is_diff_path(clean: Column) -> Column:
+    return (clean == "/dev/null") | clean.rlike("^[ab]/")
 
 
 _QUOTED = r'"(?:\\.|[^"\\])*"'
 
 
-def header_paths(line: Column) -> Column:
-    """struct(old, new) of a ``diff --git`` line; nulls where the line leaves them open."""
-    rest = F.substring(line, F.lit(12), F.length(line))
-    old, new = None, None
-    for a, b in ((_QUOTED, f"{_QUOTED}|b/.+"), (r"a/\S+", r"b/\S+"), (r"a/\S+", _QUOTED)):
-        pattern = f"^({a}) ({b})$"
-        x, y = F.nullif(F.regexp_extract(rest, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(rest, pattern, 2), F.lit(""))
-        old, new = (x, y) if old is None else (F.coalesce(old, x), F.coalesce(new, y))
-    fine = is_diff_path(old) & is_diff_path(new) & normal_path(old).isNotNull() & normal_path(new).isNotNull()
-    return F.struct(F.when(fine, normal_path(old)).alias("old"), F.when(fine, normal_path(new)).alias("new"))
+def header_sides(line: Column) -> tuple[Column, Column]:
+    """The two raw paths of a ``diff --git`` line; null where the line leaves them open."""
+    either = "|".join(f"({a}) ({b})" for a, b in ((_QUOTED, f"{_QUOTED}|b/.+"), (r"a/\S+", r"b/\S+"), (r"a/\S+", _QUOTED)))
+    found = lambda n: F.nullif(F.regexp_extract(line, f"^diff --git (?:{either})$", n), F.lit(""))
+    return F.coalesce(found(1), found(3), found(5)), F.coalesce(found(2), found(4), found(6))

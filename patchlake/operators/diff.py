@@ -40,13 +40,18 @@ def read_rows(diffs: DataFrame, keys: Sequence[str], text: str = "diff") -> Data
     rows = diffs.select(*keys, F.posexplode(T.split_lines(F.coalesce(F.col(text), F.lit("")))).alias("line_ord", "line"))
     all_rows = Window.partitionBy(*keys).orderBy("line_ord")
     so_far, before = all_rows.rowsBetween(Window.unboundedPreceding, 0), all_rows.rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        rows.withColumn("git", l.startswith("diff --git "))
-        .withColumn("old_marker", l.startswith("--- ") & T.is_diff_path(_after(l, "--- ")))
-        .withColumn("new_marker", l.startswith("+++ ") & T.is_diff_path(_after(l, "+++ ")))
-    )
+    git, minus, plus, moved_from, moved_to = (l.startswith(x) for x in ("diff --git ", "--- ", "+++ ", "rename from ", "rename to "))
+    git_old, git_new = T.header_sides(l)
+    raw_old = F.when(git, git_old).when(minus, _after(l, "--- ")).when(moved_from, _after(l, "rename from "))
+    raw_new = F.when(git, git_new).when(plus, _after(l, "+++ ")).when(moved_to, _after(l, "rename to "))
+    rows = rows.withColumn("clean", F.when(git | minus | plus | moved_from | moved_to, F.transform(F.array(raw_old, raw_new), T.clean_path)))
+    rows = rows.withColumn("named", F.transform("clean", T.stripped_path))
+    rows = rows.withColumns({
+        "git": git, "old_marker": minus & F.coalesce(T.is_diff_path(F.col("clean")[0]), F.lit(False)), "new_marker": plus & F.coalesce(T.is_diff_path(F.col("clean")[1]), F.lit(False)),
+        "named": F.when(~git | (F.forall("clean", T.is_diff_path) & F.forall("named", lambda x: x.isNotNull())), F.col("named")),
+    })
     rows = rows.withColumn("header", l.startswith("@@") & F.coalesce(F.max(F.col("git") | F.col("old_marker") | F.col("new_marker")).over(before), F.lit(False)))
-    rows = rows.withColumn("region", F.count_if(F.col("git") | F.col("header")).over(so_far)).withColumn("git_no", F.count_if("git").over(so_far))
+    rows = rows.withColumns({"region": F.count_if(F.col("git") | F.col("header")).over(so_far), "git_no": F.count_if("git").over(so_far)})
 
     region = Window.partitionBy(*keys, "region").orderBy("line_ord")
     upto, whole = region.rowsBetween(Window.unboundedPreceding, 0), region.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -58,14 +63,13 @@ def read_rows(diffs: DataFrame, keys: Sequence[str], text: str = "diff") -> Data
     )
     body = ~F.col("git") & ~F.col("header")
     on_old, on_new = (body & l.rlike("^[- ]")).cast("long"), (body & l.rlike("^[+ ]")).cast("long")
-    rows = rows.withColumn("head", F.first(head).over(upto)).withColumn("old_sum", F.sum(on_old).over(upto)).withColumn("new_sum", F.sum(on_new).over(upto))
+    rows = rows.withColumns({"head": F.first(head).over(upto), "old_sum": F.sum(on_old).over(upto), "new_sum": F.sum(on_new).over(upto)})
     reached = F.col("head.counted") & (F.col("old_sum") == F.col("head.old_count")) & (F.col("new_sum") == F.col("head.new_count"))
-    rows = rows.withColumn("closed_at", F.min(F.when(reached, F.col("line_ord"))).over(whole))
-    rows = rows.withColumn("first_marker", F.min(F.when(F.col("old_marker") | F.col("new_marker"), F.col("line_ord"))).over(whole))
+    rows = rows.withColumns({"closed_at": F.min(F.when(reached, F.col("line_ord"))).over(whole), "first_marker": F.min(F.when(F.col("old_marker") | F.col("new_marker"), F.col("line_ord"))).over(whole)})
     under = F.col("head.hunk") & (F.col("line_ord") > F.col("head.at"))
     open_counted = F.coalesce(under & F.col("head.counted") & (F.col("closed_at").isNull() | (F.col("line_ord") <= F.col("closed_at"))), F.lit(False))
     open_bare = F.coalesce(under & ~F.col("head.counted") & (F.col("first_marker").isNull() | (F.col("line_ord") < F.col("first_marker"))), F.lit(False))
-    rows = rows.withColumn("in_counted", open_counted).withColumn("inside", open_counted | open_bare)
+    rows = rows.withColumns({"in_counted": open_counted, "inside": open_counted | open_bare})
 
     kind = (
         F.when(F.col("git"), "git")
@@ -86,12 +90,13 @@ def read_rows(diffs: DataFrame, keys: Sequence[str], text: str = "diff") -> Data
     rows = rows.withColumn("hunk_index", F.count_if("header").over(Window.partitionBy(*keys, "git_no").orderBy("line_ord").rowsBetween(Window.unboundedPreceding, 0)))
 
     in_file = Window.partitionBy(*keys, "file_ord").orderBy("line_ord").rowsBetween(Window.unboundedPreceding, 0)
-    named = lambda value: F.struct(value.alias("path"))
-    git = T.header_paths(l)
-    set_old = F.when(F.col("kind") == "git", named(git["old"])).when(F.col("kind") == "old_marker", named(T.normal_path(_after(l, "--- ")))).when(F.col("kind") == "rename_from", named(T.normal_path(_after(l, "rename from "))))
-    set_new = F.when(F.col("kind") == "git", named(git["new"])).when(F.col("kind") == "new_marker", named(T.normal_path(_after(l, "+++ ")))).when(F.col("kind") == "rename_to", named(T.normal_path(_after(l, "rename to "))))
-    rows = rows.withColumn("old_path", F.last(set_old, ignorenulls=True).over(in_file)["path"]).withColumn("new_path", F.last(set_new, ignorenulls=True).over(in_file)["path"])
-    rows = rows.withColumn("rename_from", F.last(F.when(F.col("kind") == "rename_from", set_old), ignorenulls=True).over(in_file)["path"]).withColumn("rename_to", F.last(F.when(F.col("kind") == "rename_to", set_new), ignorenulls=True).over(in_file)["path"])
+    side = lambda n: F.struct(F.col("named")[n].alias("path"))
+    last = lambda value: F.last(value, ignorenulls=True).over(in_file)["path"]
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    rows = rows.withColumns({
+        "old_path": last(F.when(is_("git", "old_marker", "rename_from"), side(0))), "new_path": last(F.when(is_("git", "new_marker", "rename_to"), side(1))),
+        "rename_from": last(F.when(is_("rename_from"), side(0))), "rename_to": last(F.when(is_("rename_to"), side(1))),
+    })
     old_at = F.col("head.old_start") + F.col("old_sum") - F.when(F.col("kind").isin("deletion", "context"), 1).otherwise(0)
     new_at = F.col("head.new_start") + F.col("new_sum") - F.when(F.col("kind").isin("addition", "context"), 1).otherwise(0)
     return rows.select(
