@@ -193,7 +193,7 @@ def language_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("language", T.language(F.col("path")))
 
 
-_FINGER = "sha256(array_to_string(list_transform(CASE WHEN ends_with(text, chr(10)) THEN list_slice(string_split(text, chr(10)), 1, -2) ELSE string_split(text, chr(10)) END, x -> regexp_replace(x, '\\s+$', '')), chr(10)))"
+_FINGER = "sha256(array_to_string(list_transform(CASE WHEN ends_with(text, chr(10)) THEN list_slice(string_split(text, chr(10)), 1, -2) ELSE string_split(text, chr(10)) END, lambda x: regexp_replace(x, '\\s+$', '')), chr(10)))"
 
 
 @query(f"SELECT fingerprint, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, {_FINGER} AS fingerprint FROM documents) GROUP BY fingerprint HAVING count(*) > 1")
@@ -211,7 +211,7 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = r"""near AS (SELECT doc_id, sha256(string_agg(op || ' ' || array_to_string(list_transform(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|[^\s]'),
-  t -> CASE WHEN regexp_matches(t, '^[A-Za-z_]') THEN '<identifier>' WHEN regexp_matches(t, '^[0-9]') THEN '<number>' ELSE t END), ' '), chr(10) ORDER BY i)) AS near FROM sug WHERE trim(line) <> '' GROUP BY doc_id)"""
+  lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z_]') THEN '<identifier>' WHEN regexp_matches(t, '^[0-9]') THEN '<number>' ELSE t END), ' '), chr(10) ORDER BY i)) AS near FROM sug WHERE trim(line) <> '' GROUP BY doc_id)"""
 
 
 @query(WORLD + ", " + _NEAR + " SELECT near, count(*) AS n, min(doc_id) AS first_id FROM near GROUP BY near HAVING count(*) > 1")
@@ -378,7 +378,7 @@ def annotation_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.weighted_percentage(e, ["user_id"], "w", "c").withColumn("percentage", rounded("percentage"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars <= 200 THEN 'text' END, CASE WHEN lang <> 'en' THEN 'language' END, CASE WHEN doc_id % 3 = 0 THEN 'revision' END], x -> x IS NOT NULL), ',') AS missing,
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars <= 200 THEN 'text' END, CASE WHEN lang <> 'en' THEN 'language' END, CASE WHEN doc_id % 3 = 0 THEN 'revision' END], lambda x: x IS NOT NULL), ',') AS missing,
 CASE WHEN n_chars > 200 AND lang = 'en' AND doc_id % 3 <> 0 THEN 'benchmark_ready' WHEN n_chars > 200 THEN 'needs_reconstruction' ELSE 'quarantined' END AS status FROM documents""")
 def inventory_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = {"text": F.col("n_chars") > 200, "language": F.col("lang") == "en", "revision": F.col("doc_id") % 3 != 0}
@@ -406,7 +406,7 @@ def repo_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract(u, r"^https?://([^/?#]+)", 1)).alias("host"), part(r"^https?://[^/?#]+/([^/?#]+)").alias("owner"), F.nullif(F.regexp_replace(F.regexp_extract(u, r"^https?://[^/?#]+/[^/?#]+/([^/?#]+)", 1), r"[.]git$", ""), F.lit("")).alias("name"), part(r"/([0-9]+)(?:[/?#.]|$)").cast("long").alias("number"))
 
 
-@query("""SELECT conv_id, turn, n, '--- a/c' || conv_id || '.py' || chr(10) || '+++ b/c' || conv_id || '.py' || chr(10) || '@@' || chr(10) || array_to_string(list_transform(string_split(rtrim(text, chr(10)), chr(10)), x -> '+' || x), chr(10)) AS diff FROM (SELECT conv_id, turn, 1 AS n, text FROM conversations WHERE text <> '' AND NOT contains(text, '```') AND NOT ends_with(text, chr(10)))""")
+@query("""SELECT conv_id, turn, n, '--- a/c' || conv_id || '.py' || chr(10) || '+++ b/c' || conv_id || '.py' || chr(10) || '@@' || chr(10) || array_to_string(list_transform(string_split(rtrim(text, chr(10)), chr(10)), lambda x: '+' || x), chr(10)) AS diff FROM (SELECT conv_id, turn, 1 AS n, text FROM conversations WHERE text <> '' AND NOT contains(text, '```') AND NOT ends_with(text, chr(10)))""")
 def comment_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fenced blocks of comments as diffs; each turn's text is put into one fence first."""
     c = table(spark, sf_dir, "conversations").filter("text <> '' AND NOT contains(text, '```') AND NOT endswith(text, '\n')").select("conv_id", "turn", F.concat(F.lit("see\n```suggestion\n"), "text", F.lit("\n```\nend")).alias("body"))
