@@ -5,14 +5,21 @@ band keys of them and an odd sketch: a bitmap into which each sample is folded b
 bit, so the population count of two bitmaps' XOR tells how many samples differ. Documents of
 equal sets form a class by aggregation, and only the class's smallest id goes on.
 
-Candidates share a band. Within a bucket each document meets a pivot, the bucket's smallest
-id, instead of every other. Pairs whose odd sketches differ too much are dropped, the others
-are confirmed on full sets and linked. Buckets whose other members are not all connected by
-then are dealt again with the next 4, 16, ... ids as pivots, until each pair of a bucket is
-connected or was compared. No partner is capped, and pairs within a component are not made.
-
-Links are never gathered in the driver; components are found by label propagation with
-pointer jumping over checkpointed tables.
+Candidates share a band. Within a bucket each document meets a pivot, the member that shares
+most buckets with others, instead of every other; a group of copies has mostly one pivot in
+all its bands. Pairs whose odd sketches differ too much are dropped, the others are confirmed
+on full sets and linked.
+
+Documents of buckets whose members are not all connected by then are joined by the rarest of
+their shingles: documents linked with each other share one of these, at places in the order
+of rarity that leave enough shingles in common. Shingles that stand in one component alone
+are left out, so pairs within a component are not made; sizes are part of the join key, so
+documents with many edits of their own do not meet a large group of copies. No partner is
+capped, and each pair of a bucket is connected, compared or ruled out by its counts.
+
+Links are never gathered in the driver. Tasks of a bounded number of links find their
+components by union-find; where that takes more than one task, label propagation with
+pointer jumping over checkpointed tables joins what the tasks have found.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; a text with
 fewer words than a shingle has its whole word sequence as one; rows that repeat a doc_id
@@ -35,6 +42,11 @@ from pyspark.sql import types as T
 from .common import LOWER, UPPER, checkpoint, stored
 
 SHINGLE, BANDS, ROWS, BITS = 5, 22, 5, 512
+
+#: Links that one task takes.
+TASK_LINKS = 500_000
+#: Ratio of a size class's largest size to its smallest.
+SIZE_STEP = 1.04
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DOWN = str.maketrans(UPPER, LOWER)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -116,9 +128,29 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def connected(links: DataFrame) -> DataFrame:
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            if (x := root(a)) != (y := root(b)):
+                up[max(x, y)] = min(x, y)
+    ids = list(up)
+    yield pd.DataFrame({"id": np.array(ids, np.int64), "component": np.array([root(x) for x in ids], np.int64)})
+
+
+def connected(links: DataFrame, n_links: int, at_once: int = TASK_LINKS) -> DataFrame:
     """(id, component): the smallest id reachable from each id in ``links`` (a, b)."""
-    met = checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    n_tasks = max(1, -(-n_links // at_once))
+    if n_tasks == 1:
+        return checkpoint(links.coalesce(1).mapInPandas(_forest, "id long, component long"))
+    forest = links.repartition(n_tasks, F.xxhash64("a")).mapInPandas(_forest, "id long, component long").toDF("a", "b")
+    met = checkpoint(forest.union(forest.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = met.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component"))
     while True:
         # a label that is itself labelled lower is followed twice before each look at the neighbours
@@ -132,6 +164,39 @@ def connected(links: DataFrame) -> DataFrame:
             return label
 
 
+def _sets(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "component": batch["component"], "shingles": [shingle_set(t, k).view(np.int64) for t in batch["text"]]})
+
+    return run
+
+
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that may be linked, among ``sets`` (id, component, shingles).
+
+    In the order of rarity, linked documents share a shingle that is at place i of one and j
+    of the other so that what is left from there on is as large as the intersection must be.
+    """
+    n = F.size("shingles").cast("long")
+    each = sets.select("id", "component", n.alias("n"), F.explode("shingles").alias("shingle"))
+    spread = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
+    spread = spread.select("shingle", "df", (F.col("low") != F.col("high")).alias("across"))
+    at = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")) - 1
+    ranked = each.join(spread, "shingle").withColumn("rest", F.col("n") - at)
+    prefix = ranked.filter(F.col("across") & (100 * F.col("rest") >= percent * F.col("n"))).select("shingle", "id", "component", "n", "rest")
+    size_class = lambda c: F.floor(F.log(c) / F.log(F.lit(SIZE_STEP)) + 1e-9)
+    # (100 + percent) * intersection >= percent * (n_a + n_b), and a is the smaller
+    largest = F.least(F.col("n"), F.floor((100 + percent) * F.col("rest") / percent) - F.col("n"))
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    asks = prefix.filter(largest >= least).withColumn("size", F.explode(F.sequence(size_class(least), size_class(largest)))).toDF("shingle", "b", "cb", "n_b", "rest_b", "size")
+    held = prefix.withColumn("size", size_class(F.col("n"))).toDF("shingle", "a", "ca", "n_a", "rest_a", "size")
+    need = percent * (F.col("n_a") + F.col("n_b"))
+    enough = ((100 + percent) * F.col("rest_a") >= need) & ((100 + percent) * F.col("rest_b") >= need) & (100 * F.col("n_a") >= percent * F.col("n_b"))
+    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    return asks.join(held, ["shingle", "size"]).filter((F.col("ca") != F.col("cb")) & enough & first).select("a", "b").distinct()
+
+
 def _xor_bits(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -144,14 +209,13 @@ def _most_bits(percent: int, n: int, bits: int) -> int:
     return int(bits * (1 - np.exp(-2 * flips / bits)) / 2 + 5 * (bits / 4) ** 0.5 * (1 - np.exp(-2 * flips / bits)) ** 0.5)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, at_once: int = TASK_LINKS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each document.
 
     Documents with ``100 * intersection >= percent * union`` of their shingle sets are
     linked; ``component_id`` is the smallest id reachable.
     """
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    texts = own
     signed = own.mapInPandas(_signatures(k, bands, rows, bits), SIGNATURE)
     signed = stored(signed)
     one = signed.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_hi", "set_lo")).alias("s")).select("doc_id", "s.*")
@@ -160,51 +224,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands:
     reps = signed.join(members.filter("doc_id = rep AND n_shingles > 0").select("doc_id", F.col("n_shingles").alias("_n")), "doc_id").filter("n_shingles = _n").dropDuplicates(["doc_id"])
     banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = checkpoint(banded.join(sizes.select("band", "key"), ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "id"))
-    n_buckets = buckets.count()
+    buckets = checkpoint(banded.join(sizes, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "id", "n"))
     sketches = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     most = _most_bits(percent, bands * rows, bits)
-    label = None  # of the ids in links alone
-    own_label = lambda df: df.withColumn("component", F.col("id")) if label is None else df.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    live, n_pivots, tried = buckets, 1, None
-    while True:
-        if n_pivots == 1:
-            pivots = live.groupBy("bucket").agg(F.min("id").alias("a"))
-            pairs = live.join(pivots, "bucket").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-        else:
-            placed = checkpoint(own_label(live))
-            apart = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
-            apart = apart.filter("pairs > 0")
-            total = apart.groupBy().agg(F.sum("pairs").alias("pairs"), F.count("*").alias("n")).first()
-            if not total["n"]:
-                break
-            all_at_once = total["pairs"] <= 8 * n_buckets + 100_000
-            placed = placed.join(apart.select("bucket"), "bucket")
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-            ranked = placed if all_at_once else checkpoint(placed.withColumn("rank", rank))
-            pivots = ranked if all_at_once else ranked.filter(F.col("rank") <= n_pivots)
-            met = ranked.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb")).join(pivots.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca")), "bucket").filter("ca <> cb")
-            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+    def likely(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(sketches.toDF("a", "n_a", "s_a"), "a").join(sketches.toDF("b", "n_b", "s_b"), "b")
-        likely = checkpoint(sized.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_xor_bits("s_a", "s_b") <= most)).select("a", "b"))
-        with_text = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        found = with_text.mapInPandas(_confirm(k, percent), "a long, b long, linked boolean").filter("linked").select("a", "b")
-        # what is linked already counts as its component, so each round's graph is small
-        if label is None:
-            label = connected(found)
-        else:
-            joined = own_label(own_label(found.withColumnRenamed("a", "id")).select(F.col("component").alias("a"), F.col("b").alias("id"))).select("a", F.col("component").alias("b"))
-            upper = connected(joined).toDF("component", "upper")
-            named = label.unionByName(upper.select(F.col("component").alias("id"), "component").join(label.select("id"), "id", "left_anti"))
-            label = checkpoint(named.join(upper, "component", "left").select("id", F.coalesce("upper", "component").alias("component")))
-        if n_pivots > 1 and all_at_once:
-            break
-        tried = likely if tried is None else tried.union(likely)
-        # the pivots have met all of their bucket and leave
-        if n_pivots > 1:
-            live = ranked.filter(F.col("rank") > n_pivots).select("bucket", "id")
-        else:
-            live = live.join(pivots, "bucket").filter("id <> a").select("bucket", "id")
-        n_pivots *= 8
+        return checkpoint(sized.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_xor_bits("s_a", "s_b") <= most)).select("a", "b"))
+
+    shared = buckets.groupBy("id").agg(F.sum("n").alias("shared"))
+    pivots = buckets.join(shared, "id").groupBy("bucket").agg(F.min_by("id", F.struct(-F.col("shared"), "id")).alias("pivot"))
+    pairs = buckets.join(pivots, "bucket").filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    texts = own
+    with_text = likely(pairs).join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    found = checkpoint(with_text.mapInPandas(_confirm(k, percent), "a long, b long, linked boolean").filter("linked").select("a", "b"))
+    n_found = found.count()
+    label = connected(found, n_found, at_once)
+    placed = buckets.select("bucket", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    open_ = checkpoint(placed.join(apart, "bucket").select("id", "component").distinct())
+    if not open_.isEmpty():
+        sets = stored(open_.join(texts.toDF("id", "text"), "id").dropDuplicates(["id"]).mapInPandas(_sets(k), "id long, component long, shingles array<long>"))
+        of = sets.select("id", "shingles")
+        met = likely(_rare_pairs(sets, percent)).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        more = checkpoint(met.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
+        if n_more := more.count():
+            # the components found before are a link for each document
+            label = connected(label.toDF("a", "b").unionByName(more), label.count() + n_more, at_once)
     found = members.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -93,8 +93,9 @@ def test_near_duplicates(docs, nothing):
             for b in sets:
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                     low[a] = low[b] = min(low[a], low[b])
-    got = near_dedup.near_duplicates(docs).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(i, len(sets[i]), low[i], low[i] == i) for i in sorted(sets)]
+    for at_once in (1, 10**6):
+        got = near_dedup.near_duplicates(docs, at_once=at_once).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(i, len(sets[i]), low[i], low[i] == i) for i in sorted(sets)]
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
@@ -102,6 +103,12 @@ def test_a_bucket_of_many_components(spark):
     """Texts that share most words but link in chains, beside others that link with none."""
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words[20 * k : 20 * k + 200]) for k in range(6)] + [" ".join([*words[:195], f"x{k}", *words[196:200]]) for k in range(25)]
+    few = random.Random(5)
+    for _ in range(60):  # copies of one text with up to six edits each
+        own = words[:100]
+        for _ in range(few.randint(0, 6)):
+            own[few.randrange(100)] = f"e{few.randint(0, 3)}"
+        texts.append(" ".join(own))
     got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     sets = [set(zip(*[t.split()[j:] for j in range(5)], strict=False)) for t in texts]
     low = list(range(len(texts)))
