@@ -1,6 +1,7 @@
 """The operators on small tables with nulls, blanks, long texts, copies and clashing columns, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -213,6 +214,44 @@ def test_quality(spark, docs, nothing):
     assert quality.judge_quality(docs, labels.limit(0)).filter("score <> 0").count() == 0
 
 
+def test_quality_scores_by_what_other_rows_hold(spark, docs):
+    """The weights are those of exact n-grams at any bound, so no n-gram shares its counts with another's."""
+    good = {5, 8, 9, 11}
+    labels = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    grams = {}
+    for i, t in enumerate(TEXTS):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams[i] = [*w, *zip(w, w[1:], strict=False)]
+    raw, trusted, holders = defaultdict(int), defaultdict(int), defaultdict(set)
+    for i, some in grams.items():
+        for g in some:
+            raw[g] += 1
+            trusted[g] += i in good
+            holders[g].add(i)
+    shared = [g for g in raw if len(holders[g]) > 1]
+    share = sum(trusted[g] for g in shared) / sum(raw[g] for g in shared)
+    for limit in (0, 20, 10**6):
+        for r in quality.judge_quality(docs, labels, limit=limit).collect():
+            w = []
+            for g in grams[r.doc_id]:
+                if len(holders[g]) > 1:
+                    own = grams[r.doc_id].count(g)
+                    w.append(math.log((trusted[g] - own * (r.doc_id in good) + 10 * share) / (raw[g] - own + 10) / share))
+            assert r.score == pytest.approx(sum(w) / len(w) if w else 0)
+
+
+def test_quality_at_two_sizes(spark):
+    """The same documents get the same verdicts when the table is five times as large."""
+    few = random.Random(3)
+    clean, junk = ([f"{p}{i}" for i in range(300)] for p in "cj")
+    text = lambda words: " ".join(few.choices(words, k=80))
+    made = [(i, text(junk if i % 4 == 0 else clean)) for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(1000) if i % 8 < 4], "doc_id long, quality int")
+    for n in (200, 1000):
+        got = quality.judge_quality(spark.createDataFrame(made[:n], "doc_id long, text string"), labels).collect()
+        assert all(r.kept == (r.doc_id % 4 != 0) for r in got)
+
+
 def test_toxicity(spark, docs, nothing):
     bad = ["vile", "scumbag", "rotten"]
     texts = [(i, prose(40) + (f" {bad[i % 3]} {bad[i % 2]}" if i % 3 == 0 else "") + (" women" if i % 4 == 0 else ""), int(i % 3 == 0)) for i in range(900)]
