@@ -137,7 +137,7 @@ def _placed(raw: bytes, size: int, seed: int, chunk: int) -> Iterator[tuple[np.n
             a, e, q = a[some], e[some], place[some]
             piece = prints.at(at_a[some], at_e[some]) + np.uint64(at_a is place)
             around = prints.at(a, e + size) + (q - a).astype(np.uint64) * _M1 + (e - a).astype(np.uint64) * _M2
-            parts.append((piece, _mixed(around) >> np.uint64(24), base + a, base + e, base + q))
+            parts.append((piece, _mixed(around), base + a, base + e, base + q))
         yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -185,7 +185,7 @@ def _blocks(size: int, chunk: int = CHUNK):
                     prints = Prints(data[base : base + chunk + size + BLOCK])
                     x, y, c, q = a[some] - base, e[some] - base, core[some] - base, place[some] - base
                     piece = _mixed(prints.at(c, c + size - BLOCK + 1) + (q - c).astype(np.uint64) * _M1)
-                    around = _mixed(prints.at(x, y + size) + (q - x).astype(np.uint64) * _M1 + (y - x).astype(np.uint64) * _M2) >> np.uint64(24)
+                    around = _mixed(prints.at(x, y + size) + (q - x).astype(np.uint64) * _M1 + (y - x).astype(np.uint64) * _M2)
                     yield pd.DataFrame({"piece": piece.view(np.int64), "around": around.view(np.int64), "doc_id": doc_id, "spot": packed(int(tie[0]), a[some], (e - a)[some], 0)})
 
     return lambda batches: _gathered(run(batches))

@@ -149,6 +149,17 @@ def test_picked_places_cover_all_strings_in_any_chunk():
         assert starts == list(range(len(raw) - 99))
 
 
+def test_surroundings_are_compared_by_all_64_bits():
+    import pandas as pd
+
+    text = prose(3000)
+    around = [x for _, x, _, _ in substring_dedup.places(text.encode())]
+    spots = [int(s) for f in substring_dedup._picked(100, substring_dedup.SEED)(iter([pd.DataFrame({"doc_id": [1], "tie": [0], "text": [text]})])) for s in f["spot"]]
+    blocks = pd.concat(substring_dedup._blocks(100)(iter([pd.DataFrame({"doc_id": [1], "text": [text], "spots": [spots]})])))["around"].to_numpy()
+    for some in (*around, blocks.view("uint64")):
+        assert len(some) > 100 and 0.3 < (some >> 63).mean() < 0.7
+
+
 def test_line_dedup(docs, nothing, spark):
     many = spark.createDataFrame([(i, "menu\n" + prose(30) + "\n menu ", f"s{i}") for i in range(11)] + [(50, "menu", "s1"), (51, None, None)], "doc_id long, text string, source string")
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(many).collect()}
