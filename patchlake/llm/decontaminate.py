@@ -6,7 +6,9 @@ those of the benchmark items; only windows whose words agree count. For the wind
 match, each value of the item must stand for one value of the text throughout; the share
 of slots for which it does is the slot consistency. A text that takes up ``min_coverage``
 of an item's windows with consistent slots is a leak of the item, and is called
-re-parameterised if a slot has another value than the item's.
+re-parameterised if a slot has another value than the item's. This is asked of the text as a
+whole and of each place where the item stands in it (windows at about one distance from the
+item's); the text is a leak if any passes, and the whole is reported before the best place.
 
 The benchmark's windows are broadcast only if they are counted to be within a bound; else
 both sides are shuffled by the hash, and adaptive execution splits hot passages.
@@ -18,7 +20,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, gram_words, lower_for_ascii_match, rolling_grams
@@ -72,18 +74,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, min_coverage:
         F.array_distinct(F.filter(F.transform(F.arrays_zip(F.col("gram").alias("g"), F.col("item_values").alias("i"), F.col("doc_values").alias("d")), lambda z: F.when(z["g"].rlike(f"[{NAME}-{UNIT}]"), F.struct(z["i"].alias("i"), z["d"].alias("d")))), lambda z: z.isNotNull())),
     ).otherwise(F.array().cast("array<struct<i:string,d:string>>"))
     pair = ["id", "text_hash", "item_id", "item_hash"]
-    matched = hits.select(*pair, "item_pos", slots.alias("slots")).groupBy(*pair, "item_pos").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    of_pair = matched.groupBy(*pair).agg(F.count("*").alias("n_matched"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
+    matched = hits.select(*pair, "item_pos", diagonal, slots.alias("slots")).groupBy(*pair, "diagonal").agg(F.collect_set("item_pos").alias("at"), F.collect_set("slots").alias("slots"))
+    # copies of an item lie ``k`` words apart at least, so diagonals nearer than that are one place
+    by_diagonal = Window.partitionBy(*pair).orderBy("diagonal")
+    starts = matched.withColumn("starts", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by_diagonal) >= k).cast("int"), F.lit(0)))
+    placed = starts.withColumn("place", F.sum("starts").over(by_diagonal.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("place", F.explode(F.array(F.lit(-1).cast("long"), "place")))  # -1: the document as a whole
+    of_pair = placed.groupBy(*pair, "place").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("long").alias("n_matched"), F.array_distinct(F.flatten(F.flatten(F.collect_set("slots")))).alias("slots"))
     sizes = items.groupBy("item_id", "item_hash").agg(F.count("*").alias("n_windows"))
     sized = of_pair.alias("p").join((F.broadcast(sizes) if small else sizes).alias("s"), F.col("p.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("p.item_hash") == F.col("s.item_hash")))
     n_values = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     coverage = F.col("n_matched") / F.col("n_windows")
     n_same = F.size(F.filter("slots", lambda s: s["i"] == s["d"]))  # an exact copy beside others is a leak still
     consistency = F.when(F.size("slots") == 0, 1.0).otherwise(F.greatest(n_values / F.greatest(F.size("slots"), F.lit(1)), n_same / F.greatest(n_values, F.lit(1))))
-    return sized.select(
-        F.col("id").alias("doc_id"), "text_hash", "p.item_id", "n_windows", "n_matched", coverage.alias("coverage"), consistency.alias("consistency"),
+    found = sized.select(
+        F.col("id").alias("doc_id"), "text_hash", "p.item_id", "p.item_hash", "place", "n_windows", "n_matched", coverage.alias("coverage"), consistency.alias("consistency"),
         F.exists("slots", lambda s: s["i"] != s["d"]).alias("reparameterised"),
     ).filter((F.col("coverage") >= min_coverage) & (F.col("consistency") >= min_consistency))
+    told = ["n_windows", "n_matched", "coverage", "consistency", "reparameterised"]
+    best = F.max_by(F.struct(*told), F.struct(F.col("place") < 0, "coverage", "consistency", -F.col("place")))
+    return found.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(best.alias("best")).select("doc_id", "text_hash", "item_id", *[f"best.{c}" for c in told])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -181,6 +181,18 @@ def test_leaks(spark, docs, nothing):
     assert left.columns == docs.columns and left.count() == len(TEXTS) - 2
 
 
+def test_leaks_of_several_versions(spark):
+    """Two versions of an item in one text, and one beside a stray window of the item, are leaks; a stray window alone is none."""
+    item = "A train leaves at 30 km per hour and then Alice walks 12 miles to the old town hall before 5 o'clock sharp"
+    one, two = (item.replace("30", a).replace("Alice", b).replace("12", c).replace("5", d) for a, b, c, d in (("45", "Bob", "7", "9"), ("60", "Carol", "8", "3")))
+    stray = "and then Dora walks 99 miles to the shop, and then Eve walks 98 miles to work, and then Fay walks 97 miles to sea"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [(1, f"{one}. {two}"), (2, f"{one}. {prose(40)} {stray}"), (3, f"{prose(20)} {stray} {prose(20)}"), (4, one), (5, f"{two} {one} {two}")]
+    for rows in (10**6, 0):
+        got = decontaminate.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench, broadcast_rows=rows).collect()
+        assert sorted((r.doc_id, r.item_id, r.reparameterised) for r in got) == [(i, 1, True) for i in (1, 2, 4, 5)]
+
+
 def test_packing(docs, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
