@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; n_chars follows the text that is left."""
-    return dedup_lines(docs).select(*[c for c in docs.columns if c != "n_chars"], F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
+    """Boilerplate lines go from every document with lines of its own; n_chars follows the text that is left."""
+    return dedup_lines(docs, max_share=None).select(*[c for c in docs.columns if c != "n_chars"], F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

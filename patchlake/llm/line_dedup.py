@@ -5,7 +5,8 @@ for each line's hash and merged by aggregation, so a line that stands in a third
 documents is summed up before the shuffle. Lines whose estimate is far from the threshold
 are decided by it; those near the threshold get exact distinct counts. Boilerplate lines
 are taken out of every document, except where they make up more than ``max_share`` of its
-characters: such a document is a copy as a whole, which is left to document dedup.
+characters. Without ``max_share`` they are taken out of every document that has other lines
+left; one without them is a copy as a whole, which is left to document dedup.
 
 Defined cases: lines are split at ``\\n`` and compared without the spaces around them; blank
 lines are never boilerplate; a null text has no lines and stays null; a null site is a
@@ -42,7 +43,7 @@ def boilerplate_lines(docs: DataFrame, site: str = "source", min_sites: int = 10
     return wide.filter("sure").select("line_hash").unionByName(exact.filter(F.col("sites") >= min_sites).select("line_hash"))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share: float = 0.5, **how) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share: float | None = 0.5, **how) -> DataFrame:
     """``docs`` with the boilerplate taken out of ``text``, and n_lines and n_removed (long)."""
     flagged = boilerplate_lines(docs, site, min_sites, **how)
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -52,7 +53,8 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, max_
     met = hashed.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").withColumn("_lines", F.split("text", "\n"))
     stay: Column = F.filter("_lines", lambda x: ~F.array_contains("_gone", F.xxhash64(F.trim(x))))
     cut = met.withColumn("_stay", F.when(F.col("_gone").isNotNull(), stay)).withColumn("_kept", F.array_join("_stay", "\n"))
-    take = F.coalesce(F.length("_kept") >= (1 - max_share) * F.length("text"), F.lit(False))
+    enough = F.exists("_stay", lambda x: F.trim(x) != "") if max_share is None else F.length("_kept") >= (1 - max_share) * F.length("text")
+    take = F.coalesce(enough, F.lit(False))
     own = [F.when(take, F.col("_kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     n_lines = F.coalesce(F.size("_lines"), F.lit(0))
     return cut.select(*own, F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(take, F.size("_lines") - F.size("_stay")).otherwise(0).cast("long").alias("n_removed"))

@@ -168,6 +168,16 @@ def test_line_dedup(docs, nothing, spark):
     assert few == 0 and line_dedup.dedup_lines(docs).count() == len(TEXTS) and line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_the_pipeline_takes_boilerplate_out_of_short_documents(spark):
+    import corpus_pipeline
+
+    menu = "home about contact imprint privacy terms help"
+    made = [(i, f"{menu}\nown line {i}\n{menu}", f"s{i}", 0) for i in range(11)] + [(50, f"{menu}\n \n{menu}", "s1", 0), (51, None, None, 0)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(made, "doc_id long, text string, source string, n_chars long"), "").collect()}
+    assert all(got[i] == (f"own line {i}", len(f"own line {i}")) for i in range(11))
+    assert got[50][0] == made[11][1] and got[51] == (None, None)
+
+
 def test_leaks(spark, docs, nothing):
     item = "A train leaves at 30 km per hour and then Alice walks 12 miles to the old town hall before 5 o'clock sharp"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, SHARED)], "item_id long, text string")
