@@ -17,18 +17,21 @@ a doc_id are packed each; null doc_ids are kept; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stored
 
-CAPACITY, END, CACHED = 4096, 2, 250_000
+CAPACITY, END, CACHED = 4096, 2, 500_000
 
 
 def class_lengths(capacity: int) -> list[int]:
@@ -47,11 +50,32 @@ def cuts(n: int, lengths: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-class CachedTokenizer:
-    """Token ids as little-endian 32-bit bytes, by chunks between spaces and line breaks.
+class Recent:
+    """Remembers at least the last ``limit`` entries, and at most twice as many."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.before = limit, {}, {}
+
+    def known(self, key: str) -> bytes | None:
+        """The entry, which is then among the last ones."""
+        if (value := self.now.get(key)) is None and (value := self.before.get(key)) is not None:
+            self.now[key] = value
+        return value
 
-    The tokenizer's own splits never cross white space, so a text's ids are those of its
-    chunks in order; chunks seen before are looked up.
+    def trim(self) -> None:
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+
+
+class CachedTokenizer:
+    """Token ids as little-endian 32-bit bytes; each word is encoded once as long as it is remembered.
+
+    A tokenizer that turns white space into single spaces, lower-cases and splits by a pattern
+    that no white space matches gives a text the ids of its chunks between spaces in order, and a
+    chunk those of its words. Such chunks and words are looked up: chunks as they stand, words
+    lower-cased. Chunks with white space of other kinds, special tokens or characters beyond
+    Latin letters are encoded by the tokenizer as a whole, and so are all texts where it is of
+    another form.
     """
 
     def __init__(self, path: str | None, name: str = "word_bpe_49k.json", cached: int = CACHED):
@@ -62,23 +86,78 @@ class CachedTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        self.inner, self.cached, self.known = Tokenizer.from_file(path), cached, {"": b""}
+        self.inner, self.chunks, self.words = Tokenizer.from_file(path), Recent(cached), Recent(cached)
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        splits = (form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        self.by_chunk = (
+            [n.get("type") for n in (form.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [(s.get("type"), s.get("behavior"), s.get("invert")) for s in splits] == [("Split", "Removed", True), ("ByteLevel", None, None)]
+            and not splits[1].get("use_regex")
+            and not splits[1].get("add_prefix_space")
+        )
+        if self.by_chunk:
+            self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
+            special = [regex.escape(t["content"]) for t in form["added_tokens"]]
+            #: chunks that the tokenizer takes as a whole; to NFC, letters up to here are the same
+            self.odd = regex.compile("|".join([r"\s", r"[\x1c-\x1f]", r"[^\x00-\u024f]", *special])).search
+            self.letters = _byte_letters()
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.inner.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        if (value := self.words.known(word)) is None:
+            letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.inner.model.tokenize(letters)]
+            value = self.words.now[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return value
+
+    def _chunk(self, chunk: str) -> bytes:
+        if (value := self.chunks.known(chunk)) is None:
+            if chunk.isalpha() and max(chunk) < "\u0130":
+                value = self._word(chunk.lower())
+            elif self.odd(chunk):
+                value = self._whole(chunk)
+            else:
+                value = b"".join([self._word(w) for w in self.split(chunk.lower())])
+            self.chunks.now[chunk] = value
+        return value
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_chunk:
+            return self._whole(text)
         chunks = text.replace("\n", " ").split(" ")
-        if len(self.known) > self.cached:
-            self.known = {"": b""}
-        if new := [c for c in set(chunks) if c not in self.known]:
-            for c, e in zip(new, self.inner.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, chunks))
+        parts = list(map(self.chunks.now.get, chunks))
+        if None in parts:
+            parts = [self._chunk(c) if p is None else p for c, p in zip(chunks, parts, strict=True)]
+            self.chunks.trim()
+            self.words.trim()
+        return b"".join(parts)
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: printable ones are themselves, others follow from 256 on."""
+    own = [b for b in range(256) if chr(b).isprintable() and b != 0x20 and b != 0xAD]
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in own)}
+
+
+#: One tokenizer for each path in a worker: reused workers keep what they have learned.
+_TOKENIZERS: dict[str | None, CachedTokenizer] = {}
+
+
+def tokenizer(path: str | None) -> CachedTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = CachedTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def _pieces(capacity: int, end: int, path: str | None, with_ids: bool):
     lengths = class_lengths(capacity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = CachedTokenizer(path)
+        encode = tokenizer(path)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
