@@ -1,19 +1,23 @@
-"""Quality rules with an n-gram log-likelihood ratio.
+"""Quality rules with a hashed n-gram log-likelihood ratio.
 
-Words and word pairs are counted over the whole corpus, and over its trusted documents, those
-labelled with quality 1. An n-gram's weight for a document is taken from the other rows alone:
-``log p(trusted | n-gram) - log p(trusted)``, where p(trusted | n-gram) is drawn to p(trusted)
-by ``prior`` occurrences, so n-grams with little evidence weigh little however large the corpus
-is. A document's score is the mean weight of its n-grams that other rows hold too, so it grows
+Words and word pairs are hashed into buckets and counted over the whole corpus, and over its
+trusted documents, those labelled with quality 1. A bucket's weight for a document is taken from
+the other rows alone: ``log p(trusted | bucket) - log p(trusted)``, where p(trusted | bucket) is
+drawn to p(trusted) by ``prior`` occurrences, so buckets with little evidence weigh little
+however large the corpus is. A document's score is the mean weight of its n-grams, so it grows
 neither with its length nor with the corpus; documents below a fixed threshold, and those that
 fail the base rules, are rejected.
 
-The table of n-grams has a row for each n-gram that two rows hold, so it grows with the corpus.
-Those that most rows hold are looked up in memory, up to a bound; the rest are joined.
+Words and pairs have as many buckets each as ``BUCKETS`` times the cube root of the corpus's
+characters, so the table grows with the corpus: 0.1 million in 1 GB, 7 million in 100 TB, where
+the two counts of all buckets take 110 MB in each worker. That is what is broadcast at most.
+Rare n-grams share a bucket, whose weight is then near that of the corpus, which is 0.
 
 Defined cases: a null or blank text has no words and fails the base rules; without trusted
-documents or shared n-grams the score is 0; rows that repeat a doc_id are judged each; null ids
-are never trusted; other columns are ignored.
+documents all scores are 0, as is that of a text whose n-grams no other row holds; a score equal
+to the threshold is kept; an empty table gives no rows; texts are taken whole, however long;
+rows that repeat a doc_id are judged each, and count each; null ids are never trusted; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_by_size, stored
+from .common import join_by_size
 
-THRESHOLD, PRIOR = -0.2, 10.0
+THRESHOLD, PRIOR, BUCKETS = -0.2, 10.0, 128
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -60,123 +64,86 @@ def base_counts(text: str, words: list[str], h: np.ndarray) -> tuple[int, int, i
     return sum(map(len, words)), symbols, len(lines) - len(set(lines)), repeat
 
 
-def _count(at_once: int = 500_000):
-    def summed(held: list) -> pd.DataFrame:
-        gram, n, good = (np.concatenate(x) for x in zip(*held, strict=True))
-        some, at = np.unique(gram, return_inverse=True)
-        return pd.DataFrame({"gram": some, "raw": np.bincount(at, n).astype(np.int64), "trusted": np.bincount(at, n * good).astype(np.int64), "n_rows": np.bincount(at)})
+def _buckets(h: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each word, from 0 on, and of each pair of words, from ``n`` on."""
+    at = (_grams(h).view(np.uint64) >> np.uint64(8)) % np.uint64(n)
+    at[len(h) :] += np.uint64(n)
+    return at.astype(np.int64)
+
+
+def n_buckets(characters: int) -> int:
+    return max(1024, int(BUCKETS * characters ** (1 / 3)))
+
+
+def _count(n: int, at_once: int = 2_000_000):
+    def summed(held: list[np.ndarray], good: list[np.ndarray]) -> pd.DataFrame:
+        bucket, raw = np.unique(np.concatenate(held), return_counts=True)
+        trusted = np.zeros(len(bucket), np.int64)
+        if good:
+            some, k = np.unique(np.concatenate(good), return_counts=True)
+            trusted[np.searchsorted(bucket, some)] = k
+        return pd.DataFrame({"bucket": bucket.astype(np.int32), "raw": raw, "trusted": trusted})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, good, size = [], [], 0
         for batch in batches:
-            for text, good in zip(batch["text"], batch["trusted"], strict=True):
+            for text, trusted in zip(batch["text"], batch["trusted"], strict=True):
                 if words := _WORD.findall(text or ""):
-                    some, n = np.unique(_grams(_hashes(words)), return_counts=True)
-                    held.append((some, n, np.full(len(some), good)))
-                    size += len(some)
+                    at = _buckets(_hashes(words), n)
+                    held.append(at)
+                    if trusted:
+                        good.append(at)
+                    size += len(at)
                     if size > at_once:
-                        yield summed(held)
-                        held, size = [], 0
+                        yield summed(held, good)
+                        held, good, size = [], [], 0
         if held:
-            yield summed(held)
+            yield summed(held, good)
 
     return run
 
 
-def gram_counts(marked: DataFrame) -> DataFrame:
-    """(gram, raw, trusted, n_rows) of the n-grams that two rows of (text, trusted) hold."""
-    rows = marked.select("text", "trusted").mapInPandas(_count(), "gram long, raw long, trusted long, n_rows long")
-    return rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("raw", "trusted", "n_rows")]).filter("n_rows > 1")
-
-
-def _split(counts: DataFrame, limit: int) -> tuple[pd.DataFrame, DataFrame | None]:
-    """The n-grams that most rows hold, at most ``limit``, and the table of the others if there are any."""
-    sized = counts.withColumn("level", F.floor(8 * F.log2("n_rows")))
-    levels = sized.groupBy("level").count().orderBy(F.desc("level")).toPandas()
-    fits = levels["level"][levels["count"].cumsum() <= limit]
-    least = int(fits.min()) if len(fits) else None
-    common = sized.filter(F.lit(False) if least is None else F.col("level") >= least).select("gram", "raw", "trusted").toPandas().sort_values("gram")
-    rest = None if len(fits) == len(levels) else sized.filter(F.lit(True) if least is None else F.col("level") < least).select("gram", "raw", "trusted")
-    return common, rest
-
-
-def _weighed(common, share: float, prior: float):
-    """A function of a document's hashes and trust: its n-grams, how often each stands, and the sum and number of those in ``common``."""
-    gram, raw, good = common
+def bucket_counts(marked: DataFrame, n: int) -> DataFrame:
+    """(bucket, raw, trusted) of the n-grams of (text, trusted)."""
+    rows = marked.select("text", "trusted").mapInPandas(_count(n), "bucket int, raw long, trusted long")
+    return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
-    def of(h: np.ndarray, trusted: bool):
-        some, n = np.unique(_grams(h), return_counts=True)
-        if not len(gram) or not len(some):
-            return some, n, 0.0, 0
-        at = np.minimum(np.searchsorted(gram, some), len(gram) - 1)
-        met = gram[at] == some
-        k, at = n[met], at[met]
-        w = np.log((good[at] - k * trusted + prior * share) / ((raw[at] - k + prior) * share))
-        return some[~met], n[~met], float((w * k).sum()), int(k.sum())
-
-    return of
-
-
-def _sums(common, share: float, prior: float):
-    """Of each row its sum over the common n-grams, then its other n-grams."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = _weighed(common.value, share, prior)
-        for batch in batches:
-            held, size = [], 0
-            for text_hash, trusted, text in zip(batch["text_hash"], batch["trusted"], batch["text"], strict=True):
-                words = _WORD.findall(text or "")
-                if not words:
-                    continue
-                some, n, total, met = of(_hashes(words), trusted)
-                held.append(pd.DataFrame({"text_hash": text_hash, "by": trusted, "gram": np.r_[text_hash, some], "n": np.r_[met, n], "total": np.r_[total, np.full(len(some), np.nan)]}))
-                size += len(some)
-                if size > 100_000:
-                    yield pd.concat(held, ignore_index=True)
-                    held, size = [], 0
-            if held:
-                yield pd.concat(held, ignore_index=True)
-
-    return run
 
+def _judge(table, n: int, share: float, prior: float, threshold: float):
+    def score(h: np.ndarray, trusted: bool) -> float:
+        if not share or not len(h):
+            return 0.0
+        raw, good = table.value
+        some, k = np.unique(_buckets(h, n), return_counts=True)
+        w = np.log((good[some] - k * trusted + prior * share) / ((raw[some] - k + prior) * share))
+        return float((w * k).sum() / k.sum())
 
-def _judge(common, share: float, prior: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = _weighed(common.value, share, prior) if common else None
         for batch in batches:
             rows = []
-            for doc_id, text_hash, trusted, text in zip(batch["doc_id"], batch["text_hash"], batch["trusted"], batch["text"], strict=True):
+            for doc_id, trusted, text in zip(batch["doc_id"], batch["trusted"], batch["text"], strict=True):
                 text = text or ""
                 words = _WORD.findall(text)
                 h = _hashes(words)
                 counts = base_counts(text, words, h)
                 failed = len(words) < 50 or 100 * counts[3] > 50 * len(words)
-                total, met = of(h, trusted)[2:] if of else (0.0, 0)
-                rows.append((doc_id, len(words), *counts, failed, total / met if met else 0.0, text_hash, trusted))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "text_hash", "trusted"])
+                s = score(h, trusted)
+                rows.append((doc_id, len(words), *counts, failed, s, not failed and s >= threshold))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"])
 
     return run
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR, limit: int = BROADCAST_ROWS) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept)."""
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    marked = join_by_size(docs.select("doc_id", "text"), good, ["doc_id"], "left").select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
-    counts = stored(gram_counts(marked))
-    raw, trusted = counts.agg(F.sum("raw"), F.sum("trusted")).first()
-    share, common, rest = (trusted or 0) / (raw or 1), None, None
-    if share:
-        few, rest = _split(counts, limit)
-        common = docs.sparkSession.sparkContext.broadcast(tuple(few[c].to_numpy(np.int64) for c in ("gram", "raw", "trusted")))
+    marked = join_by_size(docs.select("doc_id", "text"), good, ["doc_id"], "left").select("doc_id", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    n = n_buckets(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    counts = bucket_counts(marked, n).toPandas()
+    raw, trusted = np.zeros(2 * n), np.zeros(2 * n)
+    raw[counts["bucket"]], trusted[counts["bucket"]] = counts["raw"], counts["trusted"]
+    share = float(trusted.sum() / max(raw.sum(), 1))
+    table = docs.sparkSession.sparkContext.broadcast((raw.astype(np.float32), trusted.astype(np.float32)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, text_hash long, trusted boolean"
-    judged = marked.mapInPandas(_judge(common if rest is None else None, share, prior), out)
-    if rest is not None:
-        # a row's sum over the common n-grams is dealt out by its hash, the others by n-gram; rows that repeat a text leave the mean as it is
-        parts = marked.select("text_hash", "trusted", "text").mapInPandas(_sums(common, share, prior), "text_hash long, by boolean, gram long, n long, total double")
-        w = F.log((F.col("trusted") - F.when(F.col("by"), F.col("n")).otherwise(0) + prior * share) / ((F.col("raw") - F.col("n") + prior) * share))
-        own = F.col("total").isNotNull()  # NaN comes as null from pandas
-        met = parts.join(rest, "gram", "left").filter(own | F.col("raw").isNotNull()).select("text_hash", F.col("by").alias("trusted"), "n", F.when(own, F.col("total")).otherwise(w * F.col("n")).alias("total"))
-        score = met.groupBy("text_hash", "trusted").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("score"))
-        judged = judged.drop("score").join(score, ["text_hash", "trusted"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    out = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
+    return marked.mapInPandas(_judge(table, n, share, prior, threshold), out)

@@ -231,6 +231,21 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_ids_of_words_and_chunks_are_those_of_the_tokenizer():
+    """Over all texts of a test table, letters beyond ASCII, odd white space and special tokens, also where little is remembered."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += ["ÀÉ don't I'LL a\tb <|endoftext|>x x<|endoftext|> ΟΔΟΣ İstanbul ½³ ªº é b \u0301x 12.50€ ǅ ß ẞ \x1c a\x85b\r\nx", "", "  ", "日本語 テキスト's", "".join(map(chr, range(1, 0x250))), " ".join(map(chr, range(1, 0x3000)))]
+    for cached in (50, packing.CACHED):
+        own = packing.CachedTokenizer(None, cached=cached)
+        assert own.by_chunk
+        for t in texts:
+            ids = own.inner.encode(t, add_special_tokens=False).ids
+            assert own(t) == b"".join(i.to_bytes(4, "little") for i in ids)
+        assert len(own.chunks.now) + len(own.words.before) < 2 * cached + max(len(t) for t in texts)
+
+
 def test_quality(spark, docs, nothing):
     labels = spark.createDataFrame([(i, 1, 0) for i in (5, 6, 8, 9, 11)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     for r in quality.judge_quality(docs, labels).collect():
@@ -247,30 +262,30 @@ def test_quality(spark, docs, nothing):
     assert quality.judge_quality(docs, labels.limit(0)).filter("score <> 0").count() == 0
 
 
-def test_quality_scores_by_what_other_rows_hold(spark, docs):
-    """The weights are those of exact n-grams at any bound, so no n-gram shares its counts with another's."""
+def test_quality_scores_by_what_other_rows_hold(spark, docs, monkeypatch):
+    """With more buckets than n-grams the weights are those of exact n-grams in the other rows."""
     good = {5, 8, 9, 11}
     labels = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
     grams = {}
     for i, t in enumerate(TEXTS):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         grams[i] = [*w, *zip(w, w[1:], strict=False)]
-    raw, trusted, holders = defaultdict(int), defaultdict(int), defaultdict(set)
+    raw, trusted = defaultdict(int), defaultdict(int)
     for i, some in grams.items():
         for g in some:
             raw[g] += 1
             trusted[g] += i in good
-            holders[g].add(i)
-    shared = [g for g in raw if len(holders[g]) > 1]
-    share = sum(trusted[g] for g in shared) / sum(raw[g] for g in shared)
-    for limit in (0, 20, 10**6):
-        for r in quality.judge_quality(docs, labels, limit=limit).collect():
-            w = []
-            for g in grams[r.doc_id]:
-                if len(holders[g]) > 1:
-                    own = grams[r.doc_id].count(g)
-                    w.append(math.log((trusted[g] - own * (r.doc_id in good) + 10 * share) / (raw[g] - own + 10) / share))
-            assert r.score == pytest.approx(sum(w) / len(w) if w else 0)
+    share = sum(trusted.values()) / sum(raw.values())
+    monkeypatch.setattr(quality, "n_buckets", lambda characters: 1 << 22)
+    for r in quality.judge_quality(docs, labels).collect():
+        own = [(g, grams[r.doc_id].count(g)) for g in grams[r.doc_id]]
+        w = [math.log((trusted[g] - k * (r.doc_id in good) + 10 * share) / (raw[g] - k + 10) / share) for g, k in own]
+        assert r.score == pytest.approx(sum(w) / len(w) if w else 0, abs=2e-3)
+        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+
+
+def test_quality_buckets_grow_with_the_corpus():
+    assert quality.n_buckets(0) == 1024 and 1.9 < quality.n_buckets(8 * 10**9) / quality.n_buckets(10**9) < 2.1
 
 
 def test_quality_at_two_sizes(spark):
