@@ -15,6 +15,8 @@ LOWER = UPPER.lower()
 
 #: Rows up to which a two-column side may be broadcast (about 64 MB as a hash relation).
 BROADCAST_ROWS = 1_000_000
+#: Bytes up to which any other side may be.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +57,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; one is set only where none is named.
 
-    A session that names ``spark.checkpoint.dir`` gets exactly that folder. A session without
-    it is a local one (tests), where a temporary folder is shared by driver and executors.
+    A session that names ``spark.checkpoint.dir`` gets exactly that folder. Without it a local
+    session (tests) takes a temporary folder, which its driver and executor share; any other
+    is refused, for a folder of one machine would not hold what the others write.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "patchlake-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -10,12 +10,13 @@ re-parameterised if a slot has another value than the item's. This is asked of t
 whole and of each place where the item stands in it (windows at about one distance from the
 item's); the text is a leak if any passes, and the whole is reported before the best place.
 
-The benchmark's windows are broadcast only if they are counted to be within a bound; else
-both sides are shuffled by the hash, and adaptive execution splits hot passages.
+The benchmark's windows are broadcast only if their bytes are counted to be within a bound;
+else both sides are shuffled by the hash, and adaptive execution splits hot passages.
 
-Defined cases: null texts are empty; texts or items of fewer than ``k`` words match nothing;
-rows that repeat (doc_id, text) or (item_id, text) count once; null ids are kept; other
-columns are ignored.
+Defined cases: null texts are empty and match nothing; an item of fewer than ``k`` words is found
+as a whole text alone, not within longer ones; texts are read whole, however long; of places
+that are equally good the first is reported; empty tables give no rows; rows that repeat
+(doc_id, text) or (item_id, text) count once; null ids are kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, gram_words, lower_for_ascii_match, rolling_grams
+from .common import BROADCAST_BYTES, gram_words, lower_for_ascii_match, rolling_grams
 
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 UNITS = "km|kg|cm|mm|mg|ml|lb|oz|ft|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|metres?|meters?|miles?|grams?|litres?|liters?|dollars?|euros?|percent"
@@ -51,18 +52,22 @@ def raw_words(text: Column) -> Column:
 def _windows(df: DataFrame, ident: str, k: int) -> DataFrame:
     read = df.select(F.col(ident).alias("id"), F.coalesce("text", F.lit("")).alias("t"))
     words = read.select("id", F.xxhash64("t").alias("text_hash"), "t", template_words(F.col("t")).alias("w"))
-    rolled = words.select("id", "text_hash", "t", F.posexplode(rolling_grams("w", k)).alias("pos", "x"))
+    rolled = words.select("id", "text_hash", "t", F.size("w").alias("n"), F.posexplode(rolling_grams("w", k)).alias("pos", "x"))
     gram = gram_words("x", k)
-    return rolled.filter(gram[-1].isNotNull()).select("id", "text_hash", "t", "pos", F.xxhash64(*gram).alias("gram_hash"), F.array(*gram).alias("gram"))
+    # a text of fewer words than a window has one window, which is all of it
+    whole = (F.col("pos") == 0) & (F.col("n") < k) & (gram[0] != "")
+    return rolled.filter(gram[-1].isNotNull() | whole).select("id", "text_hash", "t", "pos", F.xxhash64(*gram).alias("gram_hash"), F.array(*gram).alias("gram"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, min_coverage: float = 0.5, min_consistency: float = 0.8, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, min_coverage: float = 0.5, min_consistency: float = 0.8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, n_matched, coverage, consistency, reparameterised): the leaks only."""
     has_slot = F.exists("gram", lambda g: g.rlike(f"[{NAME}-{UNIT}]"))
     values = lambda gram, text, pos: F.when(F.exists(gram, lambda g: g.rlike(f"[{NAME}-{UNIT}]")), F.slice(raw_words(text), pos + 1, k))
     items = _windows(benchmark, "item_id", k).dropDuplicates(["id", "text_hash", "pos"])
     items = items.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("pos").alias("item_pos"), "gram_hash", F.col("gram").alias("item_gram"), values("gram", F.col("t"), F.col("pos")).alias("item_values"))
-    small = items.limit(broadcast_rows + 1).count() <= broadcast_rows
+    # a row takes its characters, up to three bytes each, and some 300 bytes of numbers and offsets
+    size = items.agg(F.sum(300 + 3 * F.length(F.concat_ws("", "item_gram", "item_values")))).first()[0] or 0
+    small = size <= broadcast_bytes
     windows = _windows(docs, "doc_id", k)
     if not small:  # else the values are taken of the windows that match alone
         windows = windows.withColumn("doc_values", values("gram", F.col("t"), F.col("pos"))).drop("t")

@@ -4,14 +4,16 @@ A line that stands on many sites is boilerplate. A HyperLogLog sketch of the sit
 for each line's hash and merged by aggregation, so a line that stands in a third of all
 documents is summed up before the shuffle. Lines whose estimate is far from the threshold
 are decided by it; those near the threshold get exact distinct counts. Boilerplate lines
-are taken out of every document, except where they make up more than ``max_share`` of its
-characters. Without ``max_share`` they are taken out of every document that has other lines
-left; one without them is a copy as a whole, which is left to document dedup.
+are taken out of every document that has other lines left; one without them is a copy as a
+whole, which is left to document dedup. With ``max_share`` documents stay whole too if
+boilerplate makes up more than that share of their characters.
 
 Defined cases: lines are split at ``\\n`` and compared without the spaces around them; blank
 lines are never boilerplate; a null text has no lines and stays null; a null site is a
-site of its own; repeated rows count like others and get the same result each; other
-columns are kept.
+site of its own; null doc_ids are matched null-safely; a line on exactly ``min_sites`` sites is
+boilerplate; an empty table gives no rows; texts are taken whole, however long; repeated rows
+count like others and get the same result each; other columns are kept whatever their names,
+but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -43,18 +45,21 @@ def boilerplate_lines(docs: DataFrame, site: str = "source", min_sites: int = 10
     return wide.filter("sure").select("line_hash").unionByName(exact.filter(F.col("sites") >= min_sites).select("line_hash"))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share: float | None = 0.5, **how) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share: float | None = None, **how) -> DataFrame:
     """``docs`` with the boilerplate taken out of ``text``, and n_lines and n_removed (long)."""
     flagged = boilerplate_lines(docs, site, min_sites, **how)
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     placed = docs.select("doc_id", text_hash.alias("text_hash"), F.explode(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.trim(x)))).alias("line_hash"))
-    of_doc = join_by_size(placed, flagged, ["line_hash"], "inner").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_hash").alias("_gone"))
-    hashed = docs.withColumn("_text_hash", text_hash)
-    met = hashed.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").withColumn("_lines", F.split("text", "\n"))
-    stay: Column = F.filter("_lines", lambda x: ~F.array_contains("_gone", F.xxhash64(F.trim(x))))
-    cut = met.withColumn("_stay", F.when(F.col("_gone").isNotNull(), stay)).withColumn("_kept", F.array_join("_stay", "\n"))
-    enough = F.exists("_stay", lambda x: F.trim(x) != "") if max_share is None else F.length("_kept") >= (1 - max_share) * F.length("text")
+    of_doc = join_by_size(placed, flagged, ["line_hash"], "inner").groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.collect_set("line_hash").alias("gone"))
+    # the caller's columns travel as one, so no name of theirs meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_hash.alias("own_hash"))
+    met = rows.join(of_doc, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left").select("row", "gone", F.split("row.text", "\n").alias("lines"))
+    stay: Column = F.filter("lines", lambda x: ~F.array_contains("gone", F.xxhash64(F.trim(x))))
+    cut = met.withColumn("stay", F.when(F.col("gone").isNotNull(), stay)).withColumn("kept", F.array_join("stay", "\n"))
+    enough = F.exists("stay", lambda x: F.trim(x) != "")
+    if max_share is not None:
+        enough &= F.length("kept") >= (1 - max_share) * F.length("row.text")
     take = F.coalesce(enough, F.lit(False))
-    own = [F.when(take, F.col("_kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0))
-    return cut.select(*own, F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(take, F.size("_lines") - F.size("_stay")).otherwise(0).cast("long").alias("n_removed"))
+    own = [F.when(take, F.col("kept")).otherwise(F.col("row.text")).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines"))
+    return cut.select(*own, n_lines.cast("long").alias("n_lines"), F.when(take, F.size("lines") - F.size("stay")).otherwise(0).cast("long").alias("n_removed"))

@@ -22,9 +22,11 @@ components by union-find; where that takes more than one task, label propagation
 pointer jumping over checkpointed tables joins what the tasks have found.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; a text with
-fewer words than a shingle has its whole word sequence as one; rows that repeat a doc_id
-count as one document (of their texts the largest); null ids are left out; other columns
-are ignored.
+fewer words than a shingle has its whole word sequence as one; texts are read whole, however
+long; ties don't arise, for a group's smallest id stands for it; an empty table gives no rows;
+rows that repeat a doc_id, or have none, are a document each, told apart by their texts: rows of
+one id and text get the same result each, and a group of null ids alone has a null component_id;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -209,13 +211,8 @@ def _most_bits(percent: int, n: int, bits: int) -> int:
     return int(bits * (1 - np.exp(-2 * flips / bits)) / 2 + 5 * (bits / 4) ** 0.5 * (1 - np.exp(-2 * flips / bits)) ** 0.5)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, at_once: int = TASK_LINKS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each document.
-
-    Documents with ``100 * intersection >= percent * union`` of their shingle sets are
-    linked; ``component_id`` is the smallest id reachable.
-    """
-    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+def _linked(own: DataFrame, percent: int, k: int, bands: int, rows: int, bits: int, at_once: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of texts whose ids tell them apart."""
     signed = own.mapInPandas(_signatures(k, bands, rows, bits), SIGNATURE)
     signed = stored(signed)
     one = signed.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_hi", "set_lo")).alias("s")).select("doc_id", "s.*")
@@ -254,3 +251,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands:
             label = connected(label.toDF("a", "b").unionByName(more), label.count() + n_more, at_once)
     found = members.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with a ``key`` that tells texts apart, or None if doc_id does."""
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id IS NULL OR n > 1").select(F.col("doc_id").alias("_shared"), F.lit(True).alias("_is_shared"))
+    if shared.isEmpty():
+        return None
+    text_key = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
+    return docs.join(shared, F.col("doc_id").eqNullSafe(F.col("_shared")), "left").withColumn("key", F.when(F.col("_is_shared"), text_key).otherwise(F.col("doc_id").cast("long"))).drop("_shared", "_is_shared")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, at_once: int = TASK_LINKS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each document.
+
+    Documents with ``100 * intersection >= percent * union`` of their shingle sets are
+    linked; ``component_id`` is the smallest id reachable.
+    """
+    how = (percent, k, bands, rows, bits, at_once)
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    if (keyed := _keyed(own)) is None:
+        return _linked(own, *how)
+    found = _linked(keyed.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"]), *how)
+    each = stored(keyed.select("doc_id", "key").join(found.select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("component")), "key"))
+    low = each.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return each.join(low, "component").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their group: one row of each."""
+    how = (percent, SHINGLE, BANDS, ROWS, BITS, TASK_LINKS)
+    if (keyed := _keyed(docs.select("doc_id", "text"))) is None:
+        gone = _linked(docs.select(F.col("doc_id").cast("long"), "text"), *how).filter("NOT kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = _linked(keyed.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"]), *how).filter("NOT kept").select(F.col("doc_id").alias("key"))
+    packed = _keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    return packed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select("row.*")

@@ -81,6 +81,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(source, chr(0)) AS site, text FROM documents),
 l AS (SELECT n, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
 b AS (SELECT trim(line) AS t FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10),
-c AS (SELECT n, count(*) AS n_lines, count(*) FILTER (t IS NOT NULL) AS gone, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (t IS NULL), '') AS kept FROM l LEFT JOIN b ON trim(line) = t GROUP BY n)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN gone > 0 AND length(kept) >= 0.5 * length(text) THEN gone ELSE 0 END AS n_removed, CASE WHEN gone > 0 AND length(kept) >= 0.5 * length(text) THEN kept ELSE text END AS text FROM d LEFT JOIN c USING (n)""",
+c AS (SELECT n, count(*) AS n_lines, count(*) FILTER (t IS NOT NULL) AS gone, count(*) FILTER (t IS NULL AND trim(line) <> '') AS own, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (t IS NULL), '') AS kept FROM l LEFT JOIN b ON trim(line) = t GROUP BY n)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN gone > 0 AND own > 0 THEN gone ELSE 0 END AS n_removed, CASE WHEN gone > 0 AND own > 0 THEN kept ELSE text END AS text FROM d LEFT JOIN c USING (n)""",
 }

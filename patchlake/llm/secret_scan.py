@@ -8,13 +8,17 @@ Six kinds of parts are found in every text by one pass of regular expressions:
   (``access``, ``id``) or an endpoint lies in its scope, a weak id only if a secret
   (``assign``, ``hex``, ``key``) does. Endpoints link parts and are not reported.
 
-A scope is ``scope`` code points to either side. The interval join is a sorted sweep: the
-parts of a text are sorted by start, and each looks up the nearest part of the
-complementary classes before and after it, so a text with thousands of parts makes no pairs.
-
-Defined cases: a null text is an empty text; rows that repeat a (doc_id, text) pair get the
-same result each; null doc_ids are matched null-safely; other columns are ignored. Positions
-are code points, ends exclusive, and span whole matches.
+A scope is ``scope`` code points to either side. The interval join is a sorted sweep over the
+edges of a text's parts, once in each direction: at its start a part knows the greatest end of
+the complementary classes so far, at its end the least start of those behind it. Frames only
+grow, so a text with thousands of parts makes no pairs. Parts that overlap are one piece of
+text, not two that occur together, and don't link: a long path within an address is no key.
+
+Defined cases: a null text is an empty text, an empty table gives no rows; texts are scanned
+whole, however long; of parts at one place each kind counts by itself, and of parts equally near
+any links; rows that repeat a (doc_id, text) pair get the same result each; null doc_ids are
+matched null-safely; other columns are ignored. Positions are code points, ends exclusive, and
+span whole matches.
 """
 
 from __future__ import annotations
@@ -72,20 +76,24 @@ def credential_parts(docs: DataFrame) -> DataFrame:
 def secret_spans(docs: DataFrame, scope: int = 400) -> DataFrame:
     """(doc_id, text_hash, kind, start, end) of all strong parts and of the weak ones that are linked."""
     number = {k[0]: n for n, k in enumerate(KINDS)}
-    parts = credential_parts(docs)
-    whole = Window.partitionBy("doc_id", "text_hash").orderBy("start", "kind", "end")
-    before, after = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(1, Window.unboundedFollowing)
+    part = ["doc_id", "text_hash", "kind", "start", "end"]
+    edges = credential_parts(docs).select(*part, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("opens")), F.struct(F.col("end").alias("at"), F.lit(0).alias("opens")))).alias("edge"))
+    edges = edges.select(*part, "edge.at", "edge.opens")
+    text = Window.partitionBy("doc_id", "text_hash")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    up, down = text.orderBy("at", "opens").rowsBetween(*so_far), text.orderBy(F.desc("at"), F.desc("opens")).rowsBetween(*so_far)
+    opens = F.col("opens") == 1
 
     def near(*kinds: str) -> Column:
         of = F.col("kind").isin([number[k] for k in kinds])
-        left = F.max(F.when(of, F.col("end"))).over(before)
-        right = F.first(F.when(of, F.col("start")), ignorenulls=True).over(after)
-        return F.coalesce(F.col("start") - left <= scope, F.lit(False)) | F.coalesce(right - F.col("end") <= scope, F.lit(False))
+        left, right = F.max(F.when(of & ~opens, F.col("at"))).over(up), F.min(F.when(of & opens, F.col("at"))).over(down)
+        return F.coalesce(F.when(opens, F.col("at") - left <= scope).otherwise(right - F.col("at") <= scope), F.lit(False))
 
-    linked = parts.withColumn("to_id", near("access", "id", "endpoint")).withColumn("to_secret", near("assign", "hex", "key"))
+    swept = edges.withColumn("to_id", near("access", "id", "endpoint")).withColumn("to_secret", near("assign", "hex", "key"))
+    linked = swept.groupBy(*part).agg(F.bool_or("to_id").alias("to_id"), F.bool_or("to_secret").alias("to_secret"))
     strong = F.col("kind").isin([number[k] for k in BASE])
     weak = ((F.col("kind") == number["key"]) & F.col("to_id")) | ((F.col("kind") == number["id"]) & F.col("to_secret"))
-    return linked.filter(strong | weak).select("doc_id", "text_hash", "kind", "start", "end")
+    return linked.filter(strong | weak).select(*part)
 
 
 def scan_secrets(docs: DataFrame, scope: int = 400) -> DataFrame:

@@ -6,14 +6,17 @@ that name a group (``IDENTITY``), the group's name is swapped for the others', a
 the squared change of the score, so naming a group weighs nothing by itself and neutral
 mentions aren't flagged.
 
-It is fitted on at most ``max_train`` labelled rows (those of least hash of doc_id); the features
-are the ``max_features`` that tell the labels of these rows apart best. Only the features' counts
-and the rows' selected features reach the driver: at most max_train * max_features numbers.
-Every document is scored, on its whole text.
+It is fitted on at most ``max_train`` labelled rows (those of least hash of doc_id, each with all
+its swaps); the features are the ``max_features`` that tell the labels of these rows apart best.
+Only the features' counts, the rows' selected features and what each swap changes in them reach
+the driver: at most max_train * max_features numbers, and for each swap those of two words.
+Every document is scored, on its whole text, and alike however the rows are dealt out.
 
 Defined cases: a null or blank text gets the score of a text without features; without labels of
-both kinds all scores are 0; rows that repeat a doc_id are scored each; null ids are never
-trained on; label, language, source and id are no inputs.
+both kinds all scores are 0; of labels that repeat a doc_id the greatest counts, and of texts that
+do the greatest is fitted on, while each is scored; a score equal to the threshold is predicted 1;
+an empty table gives no rows; null ids are never trained on; label, language, source and id are
+no inputs, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,18 +91,19 @@ def _selected(chosen: dict[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            for doc_id, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"], strict=True):
                 words = _words(text)
                 x, v = _values(words, chosen)
-                swaps, values = [], []
+                before, swaps, changes = dict(zip(x, v, strict=True)), [], []
                 for w in sorted(words & _GROUP.keys()):
                     for other in _GROUP[w]:
                         if other != w:
-                            y, u = _values(words - {w} | {other}, chosen)
-                            swaps.append(y)
-                            values.append(u)
-                rows.append((int(toxic), x, v, swaps[:8], values[:8]))
-            yield pd.DataFrame(rows, columns=["toxic", "x", "v", "swaps", "values"])
+                            after = dict(zip(*_values(words - {w} | {other}, chosen), strict=True))
+                            at = sorted(f for f in before.keys() | after.keys() if before.get(f) != after.get(f))
+                            swaps.append(at)
+                            changes.append([after.get(f, 0.0) - before.get(f, 0.0) for f in at])
+                rows.append((doc_id, int(toxic), x, v, swaps, changes))
+            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "x", "v", "swaps", "changes"])
 
     return run
 
@@ -123,14 +127,15 @@ class Model:
 
 
 def fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray, l2: float, swap: float, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Logistic regression with ``swap`` times the mean squared score change, by Adam over all rows."""
+    """Logistic regression with ``swap`` times the mean squared score change, by Adam over all rows.
+
+    ``changes`` is the mean of the outer products of all swaps' changes of the features.
+    """
     w, b = np.zeros(x.shape[1], np.float32), np.float32(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         e = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        g, gb = x.T @ e / len(y) + l2 * w, e.mean()
-        if len(changes):
-            g = g + 2 * swap * (changes.T @ (changes @ w)) / len(changes)
+        g, gb = x.T @ e / len(y) + l2 * w + 2 * swap * (changes @ w), e.mean()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c, d = 1 - 0.9**t, 1 - 0.999**t
         w = w - rate * (m / c) / (np.sqrt(v / d) + 1e-8)
@@ -138,10 +143,22 @@ def fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray, l2: float, swap: floa
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, max_swaps: int = 4_000, l2: float = 1e-4, swap: float = 1.0) -> Model:
+def mean_product(swaps: list, changes: list, n: int, at_once: int = 1_000) -> np.ndarray:
+    """The mean outer product of sparse rows of ``n`` numbers, all zeros without rows."""
+    out = np.zeros((n, n), np.float32)
+    for i in range(0, len(swaps), at_once):
+        some = np.zeros((len(swaps[i : i + at_once]), n), np.float32)
+        for row, at, u in zip(some, swaps[i : i + at_once], changes[i : i + at_once], strict=True):
+            row[np.asarray(at, int)] = u
+        out += some.T @ some
+    return out / max(len(swaps), 1)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, l2: float = 1e-4, swap: float = 1.0) -> Model:
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
     sample = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    # one text for each id, so what is fitted on is bounded and the same however the rows are dealt out
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     counts = rows.mapInPandas(_counted, "feature long, level long, n long, toxic int").groupBy("feature", "level").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
     total = sample.groupBy().agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("n")).first()
     if not total["p"] or not total["n"]:
@@ -151,16 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
     groups = sorted({f for w in _GROUP for f in _features(w)})
     best = counts.filter(F.col("pos") + F.col("neg") >= 3).groupBy("feature").agg(F.sum(telling).alias("telling"), F.sum("pos").alias("pos")).orderBy(F.desc("telling"), "feature").limit(max_features).toPandas()["feature"].tolist()
     chosen = {int(f): i for i, f in enumerate(dict.fromkeys([*best, *groups]))}
-    made = rows.mapInPandas(_selected(chosen), "toxic int, x array<int>, v array<double>, swaps array<array<int>>, values array<array<double>>").toPandas()
-    x, changes = np.zeros((len(made), len(chosen)), np.float32), []
-    for i, (on, v, swaps, values) in enumerate(zip(made["x"], made["v"], made["swaps"], made["values"], strict=True)):
-        x[i, np.asarray(on, int)] = v
-        for other, u in zip(swaps, values, strict=True):
-            if len(changes) < max_swaps:
-                row = -x[i]
-                row[np.asarray(other, int)] += np.asarray(u, np.float32)
-                changes.append(row)
-    w, bias = fit(x, made["toxic"].to_numpy(np.float32), np.array(changes, np.float32).reshape(-1, x.shape[1]), l2, swap)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = rows.mapInPandas(_selected(chosen), f"doc_id {kind}, toxic int, x array<int>, v array<double>, swaps array<array<int>>, changes array<array<double>>").toPandas().sort_values("doc_id")
+    x = np.zeros((len(made), len(chosen)), np.float32)
+    for row, on, v in zip(x, made["x"], made["v"], strict=True):
+        row[np.asarray(on, int)] = v
+    changes = mean_product([s for row in made["swaps"] for s in row], [s for row in made["changes"] for s in row], len(chosen))
+    w, bias = fit(x, made["toxic"].to_numpy(np.float32), changes, l2, swap)
     return Model({f: float(w[i]) for f, i in chosen.items()}, bias)
 
 
