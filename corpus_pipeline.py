@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from patchlake.llm.common import shared_dir, table
 from patchlake.llm.decontaminate import decontaminate
 from patchlake.llm.line_dedup import dedup_lines
-from patchlake.llm.near_dedup import near_duplicates
+from patchlake.llm.near_dedup import drop_near_duplicates
 from patchlake.llm.packing import pack
 from patchlake.llm.toxicity import reject_toxic
 
@@ -29,13 +29,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from every document with lines of its own; n_chars follows the text that is left."""
-    return dedup_lines(docs, max_share=None).select(*[c for c in docs.columns if c != "n_chars"], F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
+    return dedup_lines(docs).select(*[c for c in docs.columns if c != "n_chars"], F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the smallest id."""
-    gone = near_duplicates(docs, percent=NEAR).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return drop_near_duplicates(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
