@@ -6,8 +6,6 @@ follow Unicode as Python's ``str`` methods do, which Java's ``\\s`` and ``\\w``
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +14,45 @@ LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 TOKEN = r"([A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|==|!=|<=|>=|->|=>|[^" + WS + "])"
 WORD = r"([\p{L}\p{N}_]+)"
 
+# The keywords of Python.
 KEYWORDS = ("False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except", "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try", "while", "with", "yield")
-#: Tokens that say little about which change it is.
+# Tokens that say little about which change it is.
 COMMON = ("!=", "(", ")", ",", ".", ":", "=", "==", "False", "None", "True", "[", "]", "and", "as", "class", "def", "elif", "else", "except", "finally", "for", "from", "if", "import", "in", "is", "not", "or", "return", "try", "while", "with", "{", "}")
+# The language of each file extension.
 LANGUAGES = {
-    "python": "py", "c": "c h", "cpp": "cc cpp cxx hpp hxx", "java": "java", "javascript": "js jsx", "typescript": "ts tsx", "go": "go", "groovy": "groovy",
-    "hcl": "hcl tf", "html": "htm html", "jupyter_notebook": "ipynb", "rust": "rs", "ruby": "rb", "php": "php", "json": "json", "yaml": "yaml yml", "markdown": "md markdown", "shell": "sh bash zsh", "toml": "toml", "xml": "xml",
-}
+    ".py": "python",
+    ".c": "c",
+    ".cc": "cpp",
+    ".cpp": "cpp",
+    ".cxx": "cpp",
+    ".h": "c",
+    ".hpp": "cpp",
+    ".hxx": "cpp",
+    ".java": "java",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".go": "go",
+    ".groovy": "groovy",
+    ".hcl": "hcl",
+    ".htm": "html",
+    ".html": "html",
+    ".ipynb": "jupyter_notebook",
+    ".rs": "rust",
+    ".rb": "ruby",
+    ".php": "php",
+    ".json": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".md": "markdown",
+    ".sh": "shell",
+    ".bash": "shell",
+    ".zsh": "shell",
+    ".tf": "hcl",
+    ".toml": "toml",
+    ".xml": "xml",
+}
 
 
 def strip(c: Column) -> Column:
@@ -75,7 +105,8 @@ def combined_form(t: Column) -> Column:
 
 def is_anchor(t: Column) -> Column:
     """Tokens that point to one change: not common, not short, and an identifier, string or number."""
-    return ~t.isin(*COMMON) & ((F.length(t) > 2) | t.rlike("^[0-9]+$")) & (t.rlike("^[A-Za-z_][A-Za-z0-9_]*$") | t.rlike("^[\"']") | t.rlike("^[0-9]"))
+    digits, quoted = t.rlike("^[0-9]+$"), t.rlike(r"^(?:\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')$")
+    return ~t.isin(*COMMON) & ((F.length(t) > 2) | digits) & (is_identifier(t) | quoted | digits)
 
 
 def file_name(path: Column) -> Column:
@@ -88,10 +119,9 @@ def suffix(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    name, ext = file_name(path), F.substring(suffix(path), 2, 99)
-    known = [(ext.isin(*exts.split()), lang) for lang, exts in LANGUAGES.items()]
-    cases = reduce(lambda c, x: c.when(*x), known, F.when(F.lower(name).isin("dockerfile", "containerfile"), "dockerfile").when(name == "Jenkinsfile", "groovy"))
-    return cases.otherwise("text")
+    name = file_name(path)
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.when(F.lower(name).isin("dockerfile", "containerfile"), "dockerfile").when(name == "Jenkinsfile", "groovy").otherwise(F.coalesce(F.try_element_at(known, suffix(path)), F.lit("text")))
 
 
 def exact_fingerprint(text: Column) -> Column:

@@ -1,10 +1,10 @@
-"""Multiset and set overlap, line alignment and the best-hunk score."""
+"""Multiset and set overlap, and the 0-100 score."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -51,68 +51,6 @@ def compare_diffs(draft_lines: DataFrame, final_lines: DataFrame, draft_files: D
     return out
 
 
-def count_in(items: Column, item: Column) -> Column:
-    return F.size(F.filter(items, lambda x: x == item))
-
-
-def array_matched(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays in one row (for small arrays: hunks)."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(count_in(a, x), count_in(b, x)))
-
-
-def array_recall(a: Column, b: Column) -> Column:
-    return F.when(F.size(a) > 0, array_matched(a, b) / F.size(a)).otherwise(0.0)
-
-
-def window_overlap(s: Column, l: Column) -> Column:
-    """Greatest recall of s against windows of its own length of l, short ones at the end too."""
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size(l), F.lit(1))), lambda i: array_matched(s, F.slice(l, i, F.greatest(F.size(s), F.lit(1))))))
-    return F.when((F.size(s) > 0) & (F.size(l) > 0), best / F.size(s)).otherwise(0.0)
-
-
-def contiguous_run(s: Column, l: Column) -> Column:
-    """Longest run of consecutive equal items, over the size of s. Rows of the table are arrays of run lengths."""
-    zero = F.transform(l, lambda _: F.lit(0))
-    start = F.struct(zero.alias("row"), F.lit(0).alias("best"))
-
-    def step(acc, x):
-        shifted = F.concat(F.array(F.lit(0)), acc["row"])
-        row = F.zip_with(l, F.slice(shifted, 1, F.size(l)), lambda y, n: F.when(y == x, n + 1).otherwise(0))
-        return F.struct(row.alias("row"), F.greatest(acc["best"], F.array_max(row)).alias("best"))
-
-    best = F.aggregate(s, start, step, lambda acc: acc["best"])
-    return F.when((F.size(s) > 0) & (F.size(l) > 0), best / F.size(s)).otherwise(0.0)
-
-
-def lcs_recall(df: DataFrame, s: str, l: str, out: str) -> DataFrame:
-    """Longest common subsequence over the size of s; 0 beyond ``MAX_LCS_CELLS``.
-
-    Each row of its table needs the one before, cell by cell, which no built-in function
-    expresses; the Arrow-batched function below uses bit vectors, a row at a time.
-    """
-
-    @F.pandas_udf("double")
-    def lcs(a, b):
-        import pandas as pd
-
-        def one(x, y):
-            if x is None or y is None or not len(x) or not len(y) or len(x) * len(y) > MAX_LCS_CELLS:
-                return 0.0
-            at = {}
-            for i, t in enumerate(y):
-                at[t] = at.get(t, 0) | 1 << i
-            row = (1 << len(y)) - 1
-            full = row
-            for t in x:  # ones are places where the row above does not grow
-                u = row & at.get(t, 0)
-                row = ((row + u) | (row - u)) & full
-            return (len(y) - row.bit_count()) / len(x)
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return df.withColumn(out, lcs(F.col(s), F.col(l)))
-
-
 def added_by_file(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, path, first, lines): added lines of each path in order, normalised, blank ones left out."""
     some = lines.filter("operation = 'addition' AND path IS NOT NULL")
@@ -120,76 +58,6 @@ def added_by_file(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return kept.groupBy(*keys, "path").agg(F.min("line_ord").alias("first"), F.array_sort(F.collect_list(F.struct("line_ord", "norm"))).alias("_l")).select(*keys, "path", "first", F.col("_l.norm").alias("lines"))
 
 
-def added_hunks(lines: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, path, hunk_no, first, lines): added lines of each hunk, numbered within its path."""
-    keys = list(keys)
-    some = lines.filter("operation = 'addition' AND path IS NOT NULL")
-    hunks = some.groupBy(*keys, "file_ord", "hunk_index").agg(F.min("line_ord").alias("first"), F.array_sort(F.collect_list(F.struct("line_ord", "text"))).alias("_l"))
-    named = hunks.join(files.select(*keys, "file_ord", F.col("canonical_path").alias("path")), [*keys, "file_ord"]).filter("path IS NOT NULL")
-    by = Window.partitionBy(*keys, "path").orderBy("file_ord", "hunk_index")
-    lines_ = F.filter(F.transform("_l.text", T.collapse), lambda x: x != "")
-    return named.select(*keys, "path", F.row_number().over(by).alias("hunk_no"), "first", lines_.alias("lines"))
-
-
-def _anchors(lines: Column) -> Column:
-    return F.array_distinct(F.filter(T.code_tokens(F.array_join(lines, "\n")), T.is_anchor))
-
-
-def candidate_hunks(suggested: DataFrame, hunks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Landed hunks that may hold a suggested file's lines, in order of type, path and hunk.
-
-    Same file; two neighbouring hunks of it; same extension; else 30 % of the anchors. The join
-    is on the pair's keys: a suggestion meets its own pair's hunks alone.
-    """
-    keys = list(keys)
-    follow = Window.partitionBy(*keys, "path").orderBy("hunk_no")
-    by_path = Window.partitionBy(*keys).orderBy("path_first", "path")
-    h = hunks.withColumn("next", F.lead("lines").over(follow)).withColumn("path_first", F.min("first").over(Window.partitionBy(*keys, "path")))
-    h = h.withColumn("path_ord", F.dense_rank().over(by_path)).select(*keys, F.col("path").alias("hunk_path"), "path_ord", "hunk_no", F.col("lines").alias("hunk_lines"), "next")
-    met = suggested.select(*keys, "path", F.col("first").alias("file_first"), F.col("lines").alias("suggested_lines")).join(h, keys)
-    same, ext = F.col("hunk_path") == F.col("path"), T.suffix(F.col("path"))
-    anchors = _anchors(F.col("suggested_lines"))
-    share = F.when(F.size(anchors) > 0, F.size(F.array_intersect(anchors, _anchors(F.col("hunk_lines")))) / F.size(anchors)).otherwise(0.0)
-    kind = F.when(same, "same_file").when((ext != "") & (ext == T.suffix(F.col("hunk_path"))), "same_extension").when(share >= 0.30, "anchor_overlap")
-    one = met.withColumn("candidate_type", kind).filter("candidate_type IS NOT NULL").withColumn("lines", F.col("hunk_lines"))
-    two = met.filter(same & F.col("next").isNotNull()).withColumn("candidate_type", F.lit("neighboring_same_file")).withColumn("lines", F.concat("hunk_lines", "next"))
-    rank = F.when(F.col("candidate_type") == "same_file", 0).when(F.col("candidate_type") == "neighboring_same_file", 1).otherwise(2)
-    every = one.unionByName(two).filter(F.size("lines") > 0).withColumn("rank", rank)
-    first = Window.partitionBy(*keys, "path", "hunk_path", "candidate_type", "lines").orderBy("rank", "path_ord", "hunk_no")
-    return every.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*keys, "path", "file_first", "suggested_lines", "hunk_path", "candidate_type", "rank", "path_ord", "hunk_no", F.col("lines").alias("hunk_lines"))
-
-
-HUNK_SCORES = ("token_recall", "token_precision", "token_f1", "identifier_recall", "literal_recall", "combined_recall", "contiguous", "lcs", "size_ratio", "anchor_recall")
-
-
-def hunk_scores(candidates: DataFrame) -> DataFrame:
-    """The ten measures of each candidate and its score."""
-    st, lt = T.code_tokens(F.array_join("suggested_lines", "\n")), T.code_tokens(F.array_join("hunk_lines", "\n"))
-    c = candidates.withColumn("_s", st).withColumn("_l", lt)
-    for name, form in (("i", T.identifier_form), ("t", T.literal_form), ("c", T.combined_form)):
-        c = c.withColumn(f"_s{name}", F.transform("_s", form)).withColumn(f"_l{name}", F.transform("_l", form))
-    c = c.withColumn("_sa", F.array_distinct(F.filter("_s", T.is_anchor))).withColumn("_la", F.array_distinct(F.filter("_l", T.is_anchor)))
-    c = c.withColumn("_m", array_matched(F.col("_s"), F.col("_l")))
-    n, m = F.size("suggested_lines"), F.size("hunk_lines")
-    c = c.withColumn("token_recall", ratio(F.col("_m"), F.size("_s"))).withColumn("token_precision", ratio(F.col("_m"), F.size("_l")))
-    c = c.withColumn("token_f1", f1(F.col("token_precision"), F.col("token_recall")))
-    for out, x in (("identifier_recall", "i"), ("literal_recall", "t"), ("combined_recall", "c")):
-        c = c.withColumn(out, array_recall(F.col(f"_s{x}"), F.col(f"_l{x}")))
-    c = c.withColumn("contiguous", contiguous_run(F.col("suggested_lines"), F.col("hunk_lines"))).withColumn("size_ratio", ratio(F.least(n, m), F.greatest(n, m)))
-    c = c.withColumn("anchor_recall", ratio(F.size(F.array_intersect("_sa", "_la")), F.size("_sa"))).withColumn("anchor_count", F.size("_sa"))
-    c = lcs_recall(c, "_sc", "_lc", "lcs")
-    score = F.greatest("token_recall", "token_f1", F.col("identifier_recall") * 0.95, F.col("literal_recall") * 0.9, F.col("combined_recall") * 0.85, "contiguous", F.col("lcs") * 0.95, "anchor_recall")
-    return c.withColumn("hunk_size", m).withColumn("score", score).drop("_s", "_l", "_si", "_li", "_st", "_lt", "_sc", "_lc", "_sa", "_la", "_m")
-
-
-def best_hunk(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The first candidate of the greatest score above 0, with the count of all."""
-    keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "file_first", "path", "rank", "path_ord", "hunk_no")
-    ranked = scored.withColumn("_n", F.row_number().over(order)).withColumn("candidate_hunk_count", F.count("*").over(Window.partitionBy(*keys)))
-    return ranked.filter("_n = 1 AND score > 0").select(*keys, *HUNK_SCORES, "anchor_count", "hunk_size", F.col("hunk_path").alias("best_hunk_file"), "candidate_type", "candidate_hunk_count")
-
-
 def heuristic_percentage(x: dict[str, Column]) -> Column:
     """The decision list over 19 inputs, 0 to 100."""
     cross = x["candidate_type"].isin("same_extension", "anchor_overlap")

@@ -72,3 +72,29 @@ WITH scored AS (
     greatest(0, least(100, (doc_id * 37 + n_chars) % 101 + (doc_id * 13) % 41 - 20 + CASE WHEN doc_id % 17 = 0 THEN 60 ELSE 0 END)) AS predicted
   FROM documents)
 """
+
+
+#: Files among which a document's lines are dealt; each takes runs of seven lines, so it has several hunks.
+MULTI_PATHS = ("app/main.py", "conf/settings.yaml", "docs/guide.md", "Dockerfile", "data/table.json")
+
+
+def multi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, suggested, landed): each document's lines as additions to up to five files of several hunks.
+
+    What landed lacks every fourth line and has every third run of lines in the next file.
+    """
+    l = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 7).cast("int")), lambda r: F.struct(r.alias("r"), F.slice("l", r * 7 + 1, 7).alias("x")))
+    paths = F.array(*map(F.lit, MULTI_PATHS))
+    at = lambda r, moved: F.try_element_at(paths, ((r + F.col("doc_id") + moved) % 5 + 1).cast("int"))
+    hunk = lambda r, x: F.concat(F.lit("@@ -"), (r * 10 + 1).cast("string"), F.lit(",0 +"), (r * 10 + 1).cast("string"), F.lit(","), F.size(x).cast("string"), F.lit(" @@\n"), F.array_join(F.transform(x, lambda v: F.concat(F.lit("+"), v)), "\n"))
+
+    def whole(runs, moved, some):
+        placed = F.transform(runs, lambda z: F.struct(at(z["r"], F.when(z["r"] % 3 == 2, moved).otherwise(0)).alias("p"), z["r"].alias("r"), some(z["x"]).alias("x")))
+        placed = F.filter(placed, lambda z: F.size(z["x"]) > 0)
+        each = lambda p: F.concat(F.lit("--- a/"), p, F.lit("\n+++ b/"), p, F.lit("\n"), F.array_join(F.transform(F.filter(placed, lambda z: z["p"] == p), lambda z: hunk(z["r"], z["x"])), "\n"))
+        return F.array_join(F.transform(F.array_distinct(placed["p"]), each), "\n")
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", l.alias("l")).withColumn("runs", runs)
+    fewer = lambda x: F.filter(x, lambda _, i: (i + F.col("doc_id")) % 4 != 0)
+    return docs.select("doc_id", whole(F.col("runs"), F.lit(0), lambda x: x).alias("suggested"), whole(F.col("runs"), F.lit(1), fewer).alias("landed"))

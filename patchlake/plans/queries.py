@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diff, groups, match, overlap, stats
-from .derived import SCORED, WORLD, diff_pairs, scored_rows, table
+from ..operators import diff, features, groups, match, overlap, stats
+from .derived import SCORED, WORLD, diff_pairs, multi_pairs, scored_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -116,21 +116,6 @@ def _added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "path", "s", F.coalesce("l", F.array().cast("array<string>")).alias("l"))
 
 
-_FORMS = {"token_recall": lambda t: t, "identifier_recall": T.identifier_form, "literal_recall": T.literal_form, "combined_recall": T.combined_form}
-
-
-@query()
-def pair_token_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recalls of tokens as they are and in three normal forms; bags are counted before they meet."""
-    added = _added(spark, sf_dir)
-    tokens = {k: added.select("doc_id", F.explode(T.code_tokens(F.array_join(k, "\n"))).alias("t")) for k in ("s", "l")}
-    out = added.select("doc_id").distinct()
-    for name, form in _FORMS.items():
-        o = overlap.bag_overlap(tokens["s"].select("doc_id", form(F.col("t")).alias("t")), tokens["l"].select("doc_id", form(F.col("t")).alias("t")), KEY, ["t"])
-        out = out.join(o.select("doc_id", rounded(overlap.ratio(F.col("matched"), F.col("n_left"))).alias(name)), "doc_id", "left")
-    return out
-
-
 @query(WORLD + """SELECT doc_id, CAST(sum(least(a, b)) AS BIGINT) AS matched, round(sum(least(a, b)) / sum(a), 6) AS line_recall FROM (
   SELECT doc_id, text, count(*) FILTER (side = 's') AS a, count(*) FILTER (side = 'l') AS b FROM (
     SELECT doc_id, text, 's' AS side FROM su WHERE kind = 'addition' UNION ALL SELECT lu.doc_id, lu.text, 'l' FROM lu JOIN (SELECT DISTINCT doc_id, path FROM su WHERE kind = 'addition') USING (doc_id, path) WHERE kind = 'addition')
@@ -141,55 +126,64 @@ def line_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.filter("n_left > 0").select("doc_id", "matched", rounded(overlap.ratio(F.col("matched"), F.col("n_left"))).alias("line_recall"))
 
 
+def _features(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Of suggestions of several files and hunks."""
+    pairs = multi_pairs(spark, sf_dir)
+    made = features.feature_rows(pairs, diff.read_rows(pairs, KEY, "suggested"), diff.read_rows(pairs, KEY, "landed"), KEY)
+    return made.select("doc_id", *[rounded(c).alias(c) if made.schema[c].dataType.simpleString() == "double" else c for c in columns or made.columns[1:]])
+
+
 @query()
-def line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding-window overlap, longest contiguous run, subsequence recall and substring match of each pair."""
-    a = _added(spark, sf_dir)
-    a = overlap.lcs_recall(a, "s", "l", "lcs_recall")
-    return a.select("doc_id", rounded(overlap.window_overlap(F.col("s"), F.col("l"))).alias("window_overlap"), rounded(overlap.contiguous_run(F.col("s"), F.col("l"))).alias("contiguous_run"), rounded("lcs_recall").alias("lcs_recall"), F.contains(F.array_join("l", "\n"), F.array_join("s", "\n")).alias("exact_match"))
+def pair_token_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recalls of tokens as they are and in three normal forms."""
+    return _features(spark, sf_dir, "suggestion_language", "tokenizer", "pair_token_recall", "pair_identifier_recall", "pair_literal_recall", "pair_combined_recall")
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, s, m = _sides(spark, sf_dir)
-    hunks = overlap.added_hunks(diff.diff_lines(m, KEY), diff.diff_files(m, KEY), KEY)
-    return overlap.candidate_hunks(overlap.added_by_file(diff.diff_lines(s, KEY), KEY), hunks, KEY)
+@query()
+def line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding-window overlap and substring match of each pair, its best hunk's contiguous run and subsequence."""
+    return _features(spark, sf_dir, "exact_normalized_match", "best_added_line_overlap", "contiguous", "lcs")
 
 
-@query(WORLD + """SELECT s.doc_id, s.path, l.path AS hunk_path, CASE WHEN s.path = l.path THEN 'same_file' ELSE 'same_extension' END AS candidate_type, l.n AS hunk_size
-FROM (SELECT DISTINCT doc_id, path FROM su WHERE kind = 'addition') s JOIN (SELECT doc_id, path, count(*) AS n FROM lu WHERE kind = 'addition' GROUP BY doc_id, path) l USING (doc_id)""")
+@query()
 def candidate_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).select("doc_id", "path", "hunk_path", "candidate_type", F.size("hunk_lines").cast("long").alias("hunk_size"))
+    pairs = multi_pairs(spark, sf_dir)
+    return features.candidate_hunks(pairs, diff.read_rows(pairs, KEY, "suggested"), diff.read_rows(pairs, KEY, "landed"), KEY)
 
 
 @query()
 def best_hunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.best_hunk(overlap.hunk_scores(_candidates(spark, sf_dir)), KEY)
+    return _features(spark, sf_dir, *features.MEASURES, "anchor_count", "best_hunk_size", "best_hunk_file", "candidate_type", "candidate_hunk_count")
+
+
+@query()
+def structural_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir, "structural_available", "structural_engine", "structural_language", "structural_node_recall", "structural_error")
 
 
 @query()
 def heuristic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deterministic 0-100 score of each pair, from all its measures."""
-    pairs, s, m = _sides(spark, sf_dir)
-    best = best_hunk(spark, sf_dir)
-    align, recalls, lines = line_alignment(spark, sf_dir), pair_token_recalls(spark, sf_dir), line_recall(spark, sf_dir)
-    sets = lambda rows: diff.diff_lines(rows, KEY).filter("operation <> 'context'").select("doc_id", "path", T.strip(F.col("text")).alias("t")).filter("t <> ''").distinct()
-    files = lambda rows: diff.diff_files(rows, KEY).select("doc_id", "canonical_path").filter("canonical_path IS NOT NULL").distinct()
-    lo = overlap.bag_overlap(sets(s), sets(m), KEY, ["path", "t"]).select("doc_id", overlap.ratio(F.col("matched"), F.col("n_left")).alias("changed_line_overlap"))
-    fo = overlap.bag_overlap(files(s), files(m), KEY, ["canonical_path"]).select("doc_id", overlap.ratio(F.col("matched"), F.col("n_left")).alias("file_overlap"))
-    j = pairs.select("doc_id")
-    renamed = recalls.select("doc_id", F.col("token_recall").alias("pair_token_recall"), F.col("identifier_recall").alias("pair_identifier_recall"))
-    for part in (best, align, renamed, lines.select("doc_id", "line_recall"), lo, fo):
-        j = j.join(part, "doc_id", "left")
-    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    x = {c: zero(c) for c in (*overlap.HUNK_SCORES, "anchor_count", "line_recall", "changed_line_overlap", "file_overlap", "pair_token_recall", "pair_identifier_recall")}
-    x |= {"best_overlap": zero("window_overlap"), "exact": F.coalesce("exact_match", F.lit(False)), "candidate_type": F.coalesce("candidate_type", F.lit(""))}
-    return j.select("doc_id", overlap.heuristic_percentage(x).alias("predicted_percentage"))
-
-
-@query("""SELECT doc_id, source || '/f.' || list_extract(['py', 'TSX', 'unknown', 'yml', 'md', 'c'], CAST(doc_id % 6 + 1 AS INT)) AS path, list_extract(['python', 'typescript', 'text', 'yaml', 'markdown', 'c'], CAST(doc_id % 6 + 1 AS INT)) AS language FROM documents""")
+    return _features(spark, sf_dir, "file_overlap_ratio", "changed_line_overlap_ratio", "predicted_percentage")
+
+
+@query()
+def feature_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of a pair's row."""
+    return _features(spark, sf_dir)
+
+
+_PATHS = [*(f"f{e}" for e in T.LANGUAGES), "F.TSX", "f.markdown", "f", ".py", "a.b/c", "Dockerfile", "dockerfile.x", "Containerfile", "Jenkinsfile", "x.tar.gz", "f."]
+
+
+@query(f"""WITH p AS (SELECT doc_id, source || '/' || list_extract([{', '.join(f"'{x}'" for x in _PATHS)}], CAST(doc_id % {len(_PATHS)} + 1 AS INT)) AS path FROM documents),
+e(ext, lang) AS (VALUES {', '.join(f"('{e}', '{lang}')" for e, lang in T.LANGUAGES.items())})
+SELECT doc_id, path, CASE WHEN lower(regexp_extract(path, '[^/]*$')) IN ('dockerfile', 'containerfile') THEN 'dockerfile' WHEN regexp_extract(path, '[^/]*$') = 'Jenkinsfile' THEN 'groovy' ELSE coalesce(lang, 'text') END AS language
+FROM p LEFT JOIN e ON ext = lower(regexp_extract(path, '[^/.][^/]*([.][^/.]+)$', 1))""")
 def language_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ext = F.element_at(F.array(*map(F.lit, ("py", "TSX", "unknown", "yml", "md", "c"))), (F.col("doc_id") % 6 + 1).cast("int"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/f."), ext).alias("path"))
+    """Of paths with every known extension, and some that only look like one."""
+    name = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("doc_id") % len(_PATHS) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), name).alias("path"))
     return d.withColumn("language", T.language(F.col("path")))
 
 
