@@ -196,7 +196,7 @@ PARSED = ("c", "cpp", "go", "html", "java", "javascript", "rust", "typescript")
 def _nodes(source: str) -> tuple[list[str], str]:
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError) as e:
+    except (SyntaxError, ValueError, MemoryError, RecursionError) as e:  # the last two: nested too deep for the parser
         return [], f"SyntaxError: {getattr(e, 'msg', e)}"
     return [type(n).__name__ for n in ast.walk(tree) if not isinstance(n, (ast.Load, ast.Store, ast.Del))], ""
 
