@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_dir
+
 SPLITS = (("train", 0.60), ("development", 0.15), ("calibration", 0.10), ("test", 0.15))
 
 
@@ -31,9 +31,7 @@ def crossing(df: DataFrame, key: str, split: str = "split") -> DataFrame:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "patchlake-checkpoints"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

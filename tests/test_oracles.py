@@ -3,6 +3,7 @@
 import pytest
 from oracle import assert_same, connect
 
+import patchlake.plans.record_queries  # noqa: F401  (registers its queries)
 from patchlake.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
