@@ -83,7 +83,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """With a header, columns in order of name; nulls stay apart from empty texts."""
     ordered = df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    publish(df.sparkSession, lambda at: ordered.write.option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').csv(at), path)
+    publish(df.sparkSession, lambda at: ordered.write.option("header", True).option("nullValue", "\\N").option("emptyValue", "\"\"").option("escape", '"').csv(at), path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
