@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stored
 
-CAPACITY, END, CACHED = 4096, 2, 500_000
+CAPACITY, END, CACHED = 4096, 2, 100_000
 
 
 def class_lengths(capacity: int) -> list[int]:
@@ -75,7 +75,8 @@ class CachedTokenizer:
     chunk those of its words. Such chunks and words are looked up: chunks as they stand, words
     lower-cased. Chunks with white space of other kinds, special tokens or characters beyond
     Latin letters are encoded by the tokenizer as a whole, and so are all texts where it is of
-    another form.
+    another form. What is remembered takes about 200 bytes for each of at most six times
+    ``cached`` entries.
     """
 
     def __init__(self, path: str | None, name: str = "word_bpe_49k.json", cached: int = CACHED):
@@ -86,7 +87,7 @@ class CachedTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        self.inner, self.chunks, self.words = Tokenizer.from_file(path), Recent(cached), Recent(cached)
+        self.inner, self.chunks, self.words = Tokenizer.from_file(path), Recent(cached), Recent(2 * cached)
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
         splits = (form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]

@@ -81,7 +81,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
             n[int(toxic)].update((f, math.isqrt(k)) for f, k in _all_features(_words(text)).items())
-            if len(n[0]) + len(n[1]) > 1_000_000:
+            if len(n[0]) + len(n[1]) > 300_000:
                 yield from map(_as_rows, n, (0, 1))
                 n = Counter(), Counter()
     yield from map(_as_rows, n, (0, 1))
@@ -119,7 +119,7 @@ class Model:
         for w in _words(text):
             if (own := self.known.get(w)) is None:
                 own = self.known[w] = tuple(f for f in _features(w) if f in self.weights)
-                if len(self.known) > 300_000:
+                if len(self.known) > 150_000:
                     self.known = {}
             seen.update(own)
         z += sum(self.weights[f] * math.log1p(seen[f]) for f in sorted(seen))
