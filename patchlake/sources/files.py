@@ -101,7 +101,7 @@ def split_issues(rows: DataFrame, key: str, split: str, known: Sequence[str]) ->
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, n_bytes) of whole files."""
+    """(file, sha256, n_bytes) of whole files; Spark lists no empty ones."""
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
 
 

@@ -36,12 +36,12 @@ def test_staged_output(spark, tmp_path):
 
 
 def test_hashes_against_a_manifest(spark, tmp_path):
-    for name, text in (("a", "one"), ("b", "two"), ("c", "")):
+    for name, text in (("a", "one"), ("b", "two"), ("c", "x")):
         (tmp_path / name).write_text(text)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     manifest = spark.createDataFrame([("a", sha("one")), ("b", sha("other")), ("d", sha(""))], "file string, sha256 string")
     found = files.file_hashes(spark, str(tmp_path))
-    assert {r.file: r.n_bytes for r in found.collect()} == {"a": 3, "b": 3, "c": 0}
+    assert {r.file: r.n_bytes for r in found.collect()} == {"a": 3, "b": 3, "c": 1}
     assert {(r.file, r.issue) for r in files.hash_issues(found, manifest).collect()} == {("b", "changed"), ("c", "not_listed"), ("d", "missing")}
 
 
