@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, checkpoint, stored
+from .common import LOWER, UPPER, checkpoint, shuffle_partitions, stored
 
 SHINGLE, BANDS, ROWS, BITS = 5, 22, 5, 512
 
@@ -216,8 +216,11 @@ def _linked(own: DataFrame, percent: int, k: int, bands: int, rows: int, bits: i
     signed = own.mapInPandas(_signatures(k, bands, rows, bits), SIGNATURE)
     signed = stored(signed)
     one = signed.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_hi", "set_lo")).alias("s")).select("doc_id", "s.*")
-    classes = one.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
-    members = checkpoint(one.join(classes, ["set_hi", "set_lo"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
+    # a class's members meet its smallest id by parts, so no class lands in one task; each part has one row, and at most as many as partitions
+    one = one.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(shuffle_partitions(own.sparkSession))))
+    parts = one.filter("n_shingles > 0").groupBy("set_hi", "set_lo", "part").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    classes = parts.groupBy("set_hi", "set_lo").agg(F.min("low").alias("rep"), F.sum("n").alias("n"), F.collect_list("part").alias("parts")).filter("n > 1").select("set_hi", "set_lo", F.explode("parts").alias("part"), "rep")
+    members = checkpoint(one.join(classes, ["set_hi", "set_lo", "part"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
     reps = signed.join(members.filter("doc_id = rep AND n_shingles > 0").select("doc_id", F.col("n_shingles").alias("_n")), "doc_id").filter("n_shingles = _n").dropDuplicates(["doc_id"])
     banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
