@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stored
 
-CAPACITY, END, CACHED = 4096, 2, 100_000
+CAPACITY, END, CACHED = 4096, 2, 125_000
 
 
 def class_lengths(capacity: int) -> list[int]:
@@ -51,17 +51,11 @@ def cuts(n: int, lengths: list[int]) -> list[tuple[int, int]]:
 
 
 class Recent:
-    """Remembers at least the last ``limit`` entries, and at most twice as many."""
+    """Remembers at least the last ``limit`` entries, and at most twice as many: what is found in ``before`` is put in ``now`` again."""
 
     def __init__(self, limit: int):
         self.limit, self.now, self.before = limit, {}, {}
 
-    def known(self, key: str) -> bytes | None:
-        """The entry, which is then among the last ones."""
-        if (value := self.now.get(key)) is None and (value := self.before.get(key)) is not None:
-            self.now[key] = value
-        return value
-
     def trim(self) -> None:
         if len(self.now) > self.limit:
             self.now, self.before = {}, self.now
@@ -73,9 +67,9 @@ class CachedTokenizer:
     A tokenizer that turns white space into single spaces, lower-cases and splits by a pattern
     that no white space matches gives a text the ids of its chunks between spaces in order, and a
     chunk those of its words. Such chunks and words are looked up: chunks as they stand, words
-    lower-cased. Chunks with white space of other kinds, special tokens or characters beyond
+    lower-cased; a word of plain letters is remembered as a chunk. Chunks with white space of other kinds, special tokens or characters beyond
     Latin letters are encoded by the tokenizer as a whole, and so are all texts where it is of
-    another form. What is remembered takes about 200 bytes for each of at most six times
+    another form. What is remembered takes about 200 bytes for each of at most five times
     ``cached`` entries.
     """
 
@@ -87,7 +81,7 @@ class CachedTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        self.inner, self.chunks, self.words = Tokenizer.from_file(path), Recent(cached), Recent(2 * cached)
+        self.inner, self.chunks, self.words = Tokenizer.from_file(path), Recent(2 * cached), Recent(cached // 2)
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
         splits = (form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
@@ -108,31 +102,41 @@ class CachedTokenizer:
         ids = self.inner.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _ids(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.inner.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _word(self, word: str) -> bytes:
-        if (value := self.words.known(word)) is None:
-            letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.inner.model.tokenize(letters)]
-            value = self.words.now[word] = struct.pack(f"<{len(ids)}I", *ids)
+        # a word of plain letters is a chunk with the same ids
+        of = self.chunks if word.isalpha() and word.isascii() else self.words
+        if (value := of.now.get(word)) is None:
+            if (value := of.before.get(word)) is None:
+                value = self._ids(word)
+            of.now[word] = value
         return value
 
     def _chunk(self, chunk: str) -> bytes:
-        if (value := self.chunks.known(chunk)) is None:
-            if chunk.isalpha() and max(chunk) < "\u0130":
-                value = self._word(chunk.lower())
-            elif self.odd(chunk):
-                value = self._whole(chunk)
-            else:
-                value = b"".join([self._word(w) for w in self.split(chunk.lower())])
-            self.chunks.now[chunk] = value
-        return value
+        if chunk.isalpha() and max(chunk) < "\u0130":
+            word = chunk.lower()
+            return self._ids(word) if word == chunk else self._word(word)
+        return self._whole(chunk) if self.odd(chunk) else b"".join([self._word(w) for w in self.split(chunk.lower())])
 
     def __call__(self, text: str) -> bytes:
         if not self.by_chunk:
             return self._whole(text)
+        now, before = self.chunks.now, self.chunks.before
         chunks = text.replace("\n", " ").split(" ")
-        parts = list(map(self.chunks.now.get, chunks))
+        parts = list(map(now.get, chunks))
         if None in parts:
-            parts = [self._chunk(c) if p is None else p for c, p in zip(chunks, parts, strict=True)]
+            for i, value in enumerate(parts):
+                if value is None:
+                    chunk = chunks[i]
+                    if (value := now.get(chunk)) is None:
+                        if (value := before.get(chunk)) is None:
+                            value = self._chunk(chunk)
+                        now[chunk] = value
+                    parts[i] = value
             self.chunks.trim()
             self.words.trim()
         return b"".join(parts)
