@@ -29,8 +29,10 @@ def _after(line: Column, prefix: str) -> Column:
     return F.substring(line, F.lit(len(prefix) + 1), F.length(line))
 
 
-def _number(line: Column, group: int, default: int) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(line, HUNK, group), F.lit("")).cast("long"), F.lit(default))
+def hunk_number(line: Column, group: int, default: int) -> Column:
+    """A number of a hunk's header; those that no long can hold are the largest one."""
+    digits = F.regexp_extract(line, HUNK, group)
+    return F.when(digits == "", F.lit(default)).otherwise(F.coalesce(digits.try_cast("long"), F.lit(1 << 62)))
 
 
 def read_rows(diffs: DataFrame, keys: Sequence[str], text: str = "diff") -> DataFrame:
@@ -58,8 +60,8 @@ def read_rows(diffs: DataFrame, keys: Sequence[str], text: str = "diff") -> Data
     counted = F.col("header") & l.rlike(HUNK)
     head = F.struct(
         F.col("header").alias("hunk"), counted.alias("counted"), F.col("line_ord").alias("at"),
-        F.when(counted, _number(l, 1, 0)).otherwise(0).alias("old_start"), F.when(counted, _number(l, 2, 1)).alias("old_count"),
-        F.when(counted, _number(l, 3, 0)).otherwise(0).alias("new_start"), F.when(counted, _number(l, 4, 1)).alias("new_count"),
+        F.when(counted, hunk_number(l, 1, 0)).otherwise(0).alias("old_start"), F.when(counted, hunk_number(l, 2, 1)).alias("old_count"),
+        F.when(counted, hunk_number(l, 3, 0)).otherwise(0).alias("new_start"), F.when(counted, hunk_number(l, 4, 1)).alias("new_count"),
     )
     body = ~F.col("git") & ~F.col("header")
     on_old, on_new = (body & l.rlike("^[- ]")).cast("long"), (body & l.rlike("^[+ ]")).cast("long")
