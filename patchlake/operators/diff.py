@@ -151,11 +151,30 @@ def diff_stats(diffs: DataFrame, keys: Sequence[str], text: str = "diff") -> Dat
     )
 
 
+#: Fenced blocks of a comment that hold a change.
+FENCE = r"(?is)`{3,}(diff|patch|suggestion)\s*\n(.*?)\n`{3,}"
+
+
 def fence_to_diff(language: Column, body: Column, path: Column) -> Column:
-    """A fenced suggestion as a diff: ``diff`` fences get file markers, others become added lines."""
+    """A fenced block, without the space around it, as a diff.
+
+    ``diff`` and ``patch`` fences get file markers where they have none, others become added lines;
+    without a path the block stays as it is, and is null if it is empty.
+    """
+    text = T.strip(body)
     markers = F.concat(F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"))
-    is_diff = F.lower(language).isin("diff", "patch")
-    return F.when(is_diff, F.concat(markers, body)).otherwise(F.concat(markers, F.lit("@@\n"), F.array_join(F.transform(T.split_lines(body), lambda x: F.concat(F.lit("+"), x)), "\n")))
+    is_diff, marked = F.lower(language).isin("diff", "patch"), F.startswith(text, F.lit("diff --git ")) | F.startswith(text, F.lit("--- "))
+    added = F.concat(markers, F.lit("@@\n"), F.when(text == "", "").otherwise(F.array_join(F.transform(T.split_lines(text), lambda x: F.concat(F.lit("+"), x)), "\n")))
+    bare = F.nullif(path, F.lit("")).isNull()
+    return F.when(bare | (is_diff & marked), F.nullif(text, F.lit(""))).when(is_diff, F.concat(markers, text)).otherwise(added)
+
+
+def comment_suggestions(comments: DataFrame, keys: Sequence[str], body: str, path: str) -> DataFrame:
+    """(keys, n, language, diff): the fenced changes of each comment, counted from 1 in their order."""
+    found = comments.select(*keys, path, F.posexplode(F.regexp_extract_all(body, F.lit(FENCE), F.lit(0))).alias("_at", "_fence"))
+    part = lambda g: F.regexp_extract("_fence", FENCE, g)
+    made = found.select(*keys, (F.col("_at") + 1).alias("n"), F.lower(part(1)).alias("language"), fence_to_diff(part(1), part(2), F.col(path)).alias("diff"))
+    return made.filter("diff IS NOT NULL")
 
 
 def edit_shape(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -40,6 +40,21 @@ def subgroup_metrics(df: DataFrame, actual: str, predicted: str, dimensions: Seq
     return grouped.select(name.alias("dimension"), value.alias("value"), "n", "mae", "rmse", "r2", "within_5", "within_10", "dangerous_rate")
 
 
+def seeded_draws(names: DataFrame, group: str, iterations: int, seed: int) -> DataFrame:
+    """(iteration, group, times): as many draws with replacement as there are groups, in each iteration.
+
+    Draw j of iteration i takes the group at the place that a hash of seed, i and j names among the
+    sorted groups, so draws are made and counted in parallel and are the same however rows are dealt.
+    """
+    placed = names.select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("_at"))  # one row for each group
+    n = names.count()
+    number = names.sparkSession.range(iterations * n)
+    i, j = F.expr(f"id div {max(n, 1)}"), F.col("id") % max(n, 1)
+    at = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), i, j), 256), 1, 15), 16, 10).cast("long") % max(n, 1)
+    times = number.select(i.cast("int").alias("iteration"), at.alias("_at")).groupBy("iteration", "_at").agg(F.count("*").cast("int").alias("times"))
+    return times.join(placed, "_at").select("iteration", group, "times")
+
+
 def bootstrap_intervals(df: DataFrame, actual: str, predicted: str, group: str, iterations: int = 2000, seed: int = 42, draws: DataFrame | None = None) -> DataFrame:
     """(metric, low, high): 2.5 % and 97.5 % points over resamples of whole groups.
 
@@ -50,13 +65,7 @@ def bootstrap_intervals(df: DataFrame, actual: str, predicted: str, group: str,
     e = F.abs(a - p)
     sums = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(e).alias("ae"), F.sum(e * e).alias("se"), F.sum((e <= 5).cast("double")).alias("w5"), F.sum((e <= 10).cast("double")).alias("w10"))
     if draws is None:
-        groups = [r[0] for r in sums.select(group).orderBy(group).collect()]  # group names alone
-        rng = np.random.default_rng(seed)
-        rows = []
-        for i in range(iterations):
-            names, n = np.unique(rng.choice(len(groups), len(groups), replace=True), return_counts=True)
-            rows += [(i, groups[int(g)], int(k)) for g, k in zip(names, n, strict=True)]
-        draws = df.sparkSession.createDataFrame(rows, f"iteration int, {group} {df.schema[group].dataType.simpleString()}, times int")
+        draws = seeded_draws(sums.select(group), group, iterations, seed)
     t = F.col("times")
     each = draws.join(sums, group).groupBy("iteration").agg(F.sum(t * F.col("n")).alias("n"), *[F.sum(t * F.col(c)).alias(c) for c in ("ae", "se", "w5", "w10")])
     made = each.select(F.explode(F.create_map(F.lit("mae"), F.col("ae") / F.col("n"), F.lit("rmse"), F.sqrt(F.col("se") / F.col("n")), F.lit("within_5"), F.col("w5") / F.col("n"), F.lit("within_10"), F.col("w10") / F.col("n"))).alias("metric", "value"))

@@ -290,18 +290,15 @@ def subgroup_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_metrics(stats.subgroup_metrics(scored_rows(spark, sf_dir), "actual", "predicted", ["source", "lang", "size"]), "dimension", "value")
 
 
-_DRAWS = """draws AS (SELECT i AS iteration, g.source, CAST((i * 7 + g.k * 13) % 3 AS INT) AS times FROM range(200) t(i), (SELECT source, CAST(substr(source, 4) AS BIGINT) AS k FROM documents GROUP BY source) g)"""
+_DRAWS = """g AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS place FROM documents GROUP BY source), k AS (SELECT count(*) AS k FROM g),
+draws AS (SELECT iteration, source, count(*) AS times FROM (SELECT i AS iteration, CAST('0x' || substr(sha256('42:' || i || ':' || j), 1, 15) AS BIGINT) % k AS place FROM range(2000) t(i), k, LATERAL (SELECT unnest(range(k)) AS j)) JOIN g USING (place) GROUP BY iteration, source)"""
 
 
 @query(SCORED + ", " + _DRAWS + """, s AS (SELECT source, count(*) AS n, sum(abs(actual - predicted)) AS ae, sum((actual - predicted) ** 2) AS se, sum((abs(actual - predicted) <= 5)::INT) AS w5, sum((abs(actual - predicted) <= 10)::INT) AS w10 FROM scored GROUP BY source),
 e AS (SELECT iteration, sum(times * ae) / sum(times * n) AS mae, sqrt(sum(times * se) / sum(times * n)) AS rmse, sum(times * w5) / sum(times * n) AS within_5, sum(times * w10) / sum(times * n) AS within_10 FROM draws JOIN s USING (source) GROUP BY iteration)
 SELECT metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM (UNPIVOT e ON mae, rmse, within_5, within_10 INTO NAME metric VALUE v) GROUP BY metric""")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a stated table of draws, which SQL can make too; without one the draws are seeded."""
-    d = scored_rows(spark, sf_dir)
-    names = d.select("source", F.substring("source", 4, 9).cast("long").alias("k")).distinct()
-    draws = names.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(199)))).select("iteration", "source", ((F.col("iteration") * 7 + F.col("k") * 13) % 3).cast("int").alias("times"))
-    out = stats.bootstrap_intervals(d, "actual", "predicted", "source", draws=draws)
+    out = stats.bootstrap_intervals(scored_rows(spark, sf_dir), "actual", "predicted", "source")
     return out.select("metric", rounded("low").alias("low"), rounded("high").alias("high"))
 
 
@@ -400,13 +397,16 @@ def repo_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract(u, r"^https?://([^/?#]+)", 1)).alias("host"), part(r"^https?://[^/?#]+/([^/?#]+)").alias("owner"), F.nullif(F.regexp_replace(F.regexp_extract(u, r"^https?://[^/?#]+/[^/?#]+/([^/?#]+)", 1), r"[.]git$", ""), F.lit("")).alias("name"), part(r"/([0-9]+)(?:[/?#.]|$)").cast("long").alias("number"))
 
 
-@query("""SELECT conv_id, turn, n, '--- a/c' || conv_id || '.py' || chr(10) || '+++ b/c' || conv_id || '.py' || chr(10) || '@@' || chr(10) || array_to_string(list_transform(string_split(rtrim(text, chr(10)), chr(10)), lambda x: '+' || x), chr(10)) AS diff FROM (SELECT conv_id, turn, 1 AS n, text FROM conversations WHERE text <> '' AND NOT contains(text, '```') AND NOT ends_with(text, chr(10)))""")
+@query(r"""WITH c AS (SELECT conv_id, turn, 'see' || chr(10) || '```python' || chr(10) || 'x' || chr(10) || '```' || chr(10) || '````' || list_extract(['Diff', 'suggestion', 'patch'], CAST(turn % 3 + 1 AS INT)) || ' ' || chr(10) || text || chr(10) || '````' || chr(10) || text || chr(10) || '```suggestion' || chr(10) || text || chr(10) || 'x' || chr(10) || '```' AS body FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT conv_id, turn, unnest(regexp_extract_all(body, '(?is)`{3,}(?:diff|patch|suggestion)\s*\n.*?\n`{3,}')) AS fence, unnest(range(1, 1 + len(regexp_extract_all(body, '(?is)`{3,}(?:diff|patch|suggestion)\s*\n.*?\n`{3,}')))) AS n FROM c),
+p AS (SELECT conv_id, turn, n, lower(regexp_extract(fence, '^`+([A-Za-z]+)', 1)) AS kind, regexp_replace(regexp_extract(fence, '(?s)^`+[A-Za-z]+\s*\n(.*)\n`+$', 1), '^\s+|\s+$', '', 'g') AS body, '--- a/c' || conv_id || '.py' || chr(10) || '+++ b/c' || conv_id || '.py' || chr(10) AS marks FROM f)
+SELECT conv_id, turn, n, CASE WHEN kind <> 'suggestion' THEN CASE WHEN starts_with(body, 'diff --git ') OR starts_with(body, '--- ') THEN body ELSE marks || body END ELSE marks || '@@' || chr(10) || CASE WHEN body = '' THEN '' ELSE array_to_string(list_transform(string_split(body, chr(10)), lambda x: '+' || x), chr(10)) END END AS diff FROM p""")
 def comment_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fenced blocks of comments as diffs; each turn's text is put into one fence first."""
-    c = table(spark, sf_dir, "conversations").filter("text <> '' AND NOT contains(text, '```') AND NOT endswith(text, '\n')").select("conv_id", "turn", F.concat(F.lit("see\n```suggestion\n"), "text", F.lit("\n```\nend")).alias("body"))
-    found = c.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)```(\w*)\n(.*?)\n```"), F.lit(0))).alias("at", "fence"))
-    lang, text = F.regexp_extract("fence", r"^```(\w*)\n", 1), F.regexp_extract("fence", r"(?s)^```\w*\n(.*)\n```$", 1)
-    return found.select("conv_id", "turn", (F.col("at") + 1).alias("n"), diff.fence_to_diff(lang, text, F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".py"))).alias("diff"))
+    """Fenced blocks of every turn as diffs: the turn's own, and three put around its text, one of another language."""
+    kind = F.element_at(F.array(*map(F.lit, ("Diff", "suggestion", "patch"))), (F.col("turn") % 3 + 1).cast("int"))
+    body = F.concat(F.lit("see\n```python\nx\n```\n````"), kind, F.lit(" \n"), F.col("text"), F.lit("\n````\n"), F.col("text"), F.lit("\n```suggestion\n"), F.col("text"), F.lit("\nx\n```"))
+    c = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", body.alias("body"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".py")).alias("path"))
+    return diff.comment_suggestions(c, ["conv_id", "turn"], "body", "path").select("conv_id", "turn", "n", "diff")
 
 
 _EXPLAIN = """, x AS (SELECT s.doc_id, s.unit, CASE WHEN m.scope IS NULL THEN 'missing' WHEN m.suggested_path <> m.landed_path THEN 'partial' ELSE 'landed' END AS verdict,
