@@ -56,41 +56,9 @@ def components(rows: DataFrame, ident: str, keys: Sequence[str]) -> DataFrame:
             return label
 
 
-def assign_splits(sizes: DataFrame, active: Sequence[tuple[str, float]] = SPLITS) -> DataFrame:
-    """(component, split): largest component first, each to the split that lacks most rows.
-
-    The rule is sequential. It runs on one row for each component, in one Python task, and
-    needs memory for the splits' four counters alone.
-    """
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    whole = sum(r for _, r in active)
-    targets = [(name, r / whole * total) for name, r in active]
-
-    def run(batches):
-        import pandas as pd
-
-        filled = [0.0] * len(targets)
-        for batch in batches:
-            out = []
-            for n in batch["n"]:
-                lacks = [t - f for (_, t), f in zip(targets, filled, strict=True)]
-                i = lacks.index(max(lacks))
-                filled[i] += n
-                out.append(targets[i][0])
-            yield pd.DataFrame({"component": batch["component"], "split": out})
-
-    kind = sizes.schema["component"].dataType.simpleString()
-    return sizes.repartition(1).sortWithinPartitions(F.desc("n"), "component").mapInPandas(run, f"component {kind}, split string")
-
-
 def split_summary(rows: DataFrame, group: Sequence[str], repo: str, value: str) -> DataFrame:
     """A row for each of the four splits, empty ones too."""
     spine = rows.sparkSession.createDataFrame([(s,) for s, _ in SPLITS], "split string")
     n = rows.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct(*group).alias("groups"), F.count_distinct(repo).alias("repos"), F.min(value).alias("low"), F.avg(value).alias("mean"), F.max(value).alias("high"))
     total = F.sum("n").over(Window.partitionBy())
     return spine.join(n, "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("groups", F.lit(0)).alias("groups"), F.coalesce("repos", F.lit(0)).alias("repos"), F.coalesce(100.0 * F.col("n") / total, F.lit(0.0)).alias("share"), "low", "mean", "high")
-
-
-def list_missing(flags: dict[str, Column]) -> Column:
-    """Names of the flags that are false, in order, joined by commas."""
-    return F.array_join(F.filter(F.array(*[F.when(~f, F.lit(k)) for k, f in flags.items()]), lambda x: x.isNotNull()), ",")

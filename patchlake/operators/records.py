@@ -184,3 +184,48 @@ def diff_flags(text: Column) -> dict[str, Column]:
         "touches_config": text.rlike(header),
         "has_context": text.rlike(r"(?m)^ [^\n]*$"),
     }
+
+
+#: What a candidate of the benchmark needs, in the order in which what is missing is told.
+EVIDENCE = {
+    "repository_identity": "repository identity",
+    "pr_identity": "PR URL or PR identifier",
+    "suggestion_anchor": "stable inline suggestion anchor",
+    "suggested_diff": "suggested diff",
+    "original_file_path": "original file path",
+    "original_snapshot_or_context": "original file snapshot or enough pre-suggestion context",
+    "merged_pr_diff": "merged PR diff",
+    "final_snapshot_or_context": "final file snapshot or enough final evidence",
+    "merge_revision": "merge commit or comparable final revision",
+    "final_path_mapping": "final path mapping when a rename is involved",
+    "suggestion_provenance": "validated suggestion provenance",
+}
+#: Those of them that can't be made up for later.
+NOT_REBUILT = ("repository_identity", "pr_identity", "suggestion_anchor", "suggested_diff", "original_file_path", "merged_pr_diff", "merge_revision")
+
+
+def missing_evidence(flags: dict[str, Column]) -> Column:
+    """Names of what a row lacks; a null flag is lacking."""
+    return F.filter(F.array(*[F.when(~F.coalesce(flags[k], F.lit(False)), F.lit(name)) for k, name in EVIDENCE.items()]), lambda x: x.isNotNull())
+
+
+def evidence_status(flags: dict[str, Column]) -> Column:
+    has = lambda names: F.least(*[F.coalesce(flags[k], F.lit(False)) for k in names])
+    return F.when(has(EVIDENCE), "benchmark_ready").when(has(NOT_REBUILT), "needs_reconstruction").otherwise("quarantined")
+
+
+def audit(confidence: Column, flags: Column, statuses: Column) -> Column:
+    """(status, weight): how far a label is trusted, by its reviewer's confidence, its flags and the states of its units."""
+    any_of = lambda *names: F.exists(statuses, lambda s: s.isin(*names))
+    out = lambda name, weight: F.struct(F.lit(name).alias("status"), F.lit(weight).alias("weight"))
+    mixed = any_of("landed_exactly", "landed_equivalently") & any_of("landed_partially", "absent", "different_implementation")
+    fuzzy = (F.size(statuses) > 0) & F.forall(statuses, lambda s: s == "landed_partially")
+    return (
+        F.when(F.array_contains(flags, "manually_verified"), out("manually_verified", 1.25))
+        .when(confidence == "high", out("accepted_high_confidence", 0.85))
+        .when((confidence == "medium") & mixed, out("accepted_mixed_evidence", 0.85))
+        .when(confidence == "medium", out("accepted_medium_confidence", 0.50))
+        .when(F.array_contains(flags, "possible_moved_implementation"), out("uncertain_cross_file", 0.08))
+        .when(fuzzy, out("uncertain_fuzzy_only", 0.08))
+        .otherwise(out("uncertain_metric_disagreement", 0.12))
+    )

@@ -153,3 +153,22 @@ def cosine(a: Column, b: Column) -> Column:
     """Of two float arrays, within -1..1."""
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))))
+
+
+def embedding_features(candidates: DataFrame, by: Sequence[str], suggestion: str, vector: str, same_file: str, n_dims: int, thresholds: Sequence[float] = (0.6, 0.7, 0.8)) -> DataFrame:
+    """A row of cosine features for each example, of a row for each of its candidates.
+
+    All are aggregates: the three best are ranked with a limit on each group, and the centroid is
+    averaged by dimension, so an example's candidates are never gathered. Features of what is not there are 0.
+    """
+    scored = candidates.withColumn("_s", cosine(F.col(suggestion), F.col(vector)))
+    mean = F.array(*[F.avg(F.get(vector, F.lit(i))) for i in range(n_dims)])
+    or_zero = lambda c: F.coalesce(c, F.lit(0.0))
+    whole = scored.groupBy(*by).agg(
+        F.avg("_s").alias("candidate_mean"), cosine(F.first(suggestion), mean).alias("centroid"),
+        or_zero(F.max(F.when(F.col(same_file), F.col("_s")))).alias("same_file_best"), or_zero(F.max(F.when(~F.col(same_file), F.col("_s")))).alias("cross_file_best"),
+        F.count("*").alias("n_candidates"), *[F.avg((F.col("_s") >= t).cast("double")).alias(f"above_{round(100 * t)}") for t in thresholds],
+    )
+    ranked = scored.select(*by, "_s").withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_s")))).filter("_r <= 3")
+    best = ranked.groupBy(*by).agg(F.max("_s").alias("best"), F.avg("_s").alias("mean_top3"), (F.max("_s") - or_zero(F.max(F.when(F.col("_r") == 2, F.col("_s"))))).alias("margin"))
+    return best.join(whole, list(by))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diff, features, groups, match, overlap, stats
+from ..operators import diff, features, groups, match, overlap, records, splits, stats
 from .derived import SCORED, WORLD, diff_pairs, multi_pairs, scored_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,7 +233,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp = components(spark, sf_dir)
-    return comp.join(groups.assign_splits(comp.groupBy("component").agg(F.count("*").alias("n"))), "component")
+    return comp.join(splits.seeded_splits(comp.groupBy("component").agg(F.count("*").alias("n"))), "component")
 
 
 @query()
@@ -369,12 +369,18 @@ def annotation_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.weighted_percentage(e, ["user_id"], "w", "c").withColumn("percentage", rounded("percentage"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars <= 200 THEN 'text' END, CASE WHEN lang <> 'en' THEN 'language' END, CASE WHEN doc_id % 3 = 0 THEN 'revision' END], lambda x: x IS NOT NULL), ',') AS missing,
-CASE WHEN n_chars > 200 AND lang = 'en' AND doc_id % 3 <> 0 THEN 'benchmark_ready' WHEN n_chars > 200 THEN 'needs_reconstruction' ELSE 'quarantined' END AS status FROM documents""")
+def _evidence_sql() -> str:
+    """The flags of a document are false where doc_id is divisible by 3, 5, 7 and so on, in their order."""
+    lack = ", ".join(f"CASE WHEN doc_id % {2 * i + 3} = 0 THEN '{name}' END" for i, name in enumerate(records.EVIDENCE.values()))
+    fatal = " OR ".join(f"doc_id % {2 * i + 3} = 0" for i, k in enumerate(records.EVIDENCE) if k in records.NOT_REBUILT)
+    return f"""SELECT doc_id, array_to_string(missing, '; ') AS missing, CASE WHEN len(missing) = 0 THEN 'benchmark_ready' WHEN {fatal} THEN 'quarantined' ELSE 'needs_reconstruction' END AS status
+FROM (SELECT doc_id, list_filter([{lack}], lambda x: x IS NOT NULL) AS missing FROM documents)"""
+
+
+@query(_evidence_sql())
 def inventory_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {"text": F.col("n_chars") > 200, "language": F.col("lang") == "en", "revision": F.col("doc_id") % 3 != 0}
-    ready = flags["text"] & flags["language"] & flags["revision"]
-    return table(spark, sf_dir, "documents").select("doc_id", groups.list_missing(flags).alias("missing"), F.when(ready, "benchmark_ready").when(flags["text"], "needs_reconstruction").otherwise("quarantined").alias("status"))
+    flags = {k: F.col("doc_id") % (2 * i + 3) != 0 for i, k in enumerate(records.EVIDENCE)}
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(records.missing_evidence(flags), "; ").alias("missing"), records.evidence_status(flags).alias("status"))
 
 
 @query("SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'unexpected' WHEN l.doc_id IS NULL THEN 'missing' ELSE 'labelled' END AS state, l.quality FROM documents d FULL JOIN (SELECT DISTINCT doc_id, quality FROM labels) l USING (doc_id)")
@@ -384,10 +390,22 @@ def label_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", F.when(F.col("d").isNull(), "unexpected").when(F.col("l").isNull(), "missing").otherwise("labelled").alias("state"), "quality")
 
 
-@query("""SELECT l.doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'accepted' WHEN quality = 0 AND toxic = 1 THEN 'rejected' ELSE 'review' END AS audit, CASE WHEN quality = 1 AND toxic = 0 THEN 1.25::DOUBLE WHEN quality = 0 AND toxic = 1 THEN 0.08::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM labels l""")
+_STATES = ("landed_exactly", "landed_equivalently", "landed_partially", "absent", "different_implementation")
+
+
+@query(f"""WITH l AS (SELECT doc_id, quality, toxic, list_extract(['high', 'medium', 'low', 'medium'], CAST((doc_id // 2 + quality + 2 * toxic) % 4 + 1 AS INT)) AS confidence, doc_id % 11 = 0 AS verified, doc_id % 5 = 0 AS moved,
+  {list(_STATES)}[CAST(doc_id % 5 + 1 AS INT)] AS s1, {list(_STATES)}[CAST(doc_id // 3 % 5 + 1 AS INT)] AS s2 FROM labels)
+SELECT doc_id, CASE WHEN verified THEN 'manually_verified' WHEN confidence = 'high' THEN 'accepted_high_confidence'
+  WHEN confidence = 'medium' AND (s1 IN ('landed_exactly', 'landed_equivalently')) <> (s2 IN ('landed_exactly', 'landed_equivalently')) THEN 'accepted_mixed_evidence' WHEN confidence = 'medium' THEN 'accepted_medium_confidence'
+  WHEN moved THEN 'uncertain_cross_file' WHEN s1 = 'landed_partially' AND s2 = s1 THEN 'uncertain_fuzzy_only' ELSE 'uncertain_metric_disagreement' END AS audit,
+  CASE audit WHEN 'manually_verified' THEN 1.25 WHEN 'accepted_high_confidence' THEN 0.85 WHEN 'accepted_mixed_evidence' THEN 0.85 WHEN 'accepted_medium_confidence' THEN 0.5 WHEN 'uncertain_metric_disagreement' THEN 0.12 ELSE 0.08 END::DOUBLE AS weight FROM l""")
 def label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = (F.col("quality") == 1) & (F.col("toxic") == 0), (F.col("quality") == 0) & (F.col("toxic") == 1)
-    return table(spark, sf_dir, "labels").select("doc_id", F.when(good, "accepted").when(bad, "rejected").otherwise("review").alias("audit"), F.when(good, 1.25).when(bad, 0.08).otherwise(0.5).alias("weight"))
+    """How far each label is trusted, from a confidence, two flags and the states of two units made from its row."""
+    state = lambda n: F.element_at(F.array(*map(F.lit, _STATES)), (n % 5 + 1).cast("int"))
+    confidence = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "medium"))), ((F.expr("doc_id div 2") + F.col("quality") + 2 * F.col("toxic")) % 4 + 1).cast("int"))
+    flags = F.array_compact(F.array(F.when(F.col("doc_id") % 11 == 0, "manually_verified"), F.when(F.col("doc_id") % 5 == 0, "possible_moved_implementation")))
+    found = records.audit(confidence, flags, F.array(state(F.col("doc_id")), state(F.expr("doc_id div 3"))))
+    return table(spark, sf_dir, "labels").select("doc_id", found["status"].alias("audit"), found["weight"].alias("weight"))
 
 
 @query("""SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, nullif(regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)', 1), '') AS owner, nullif(regexp_replace(regexp_extract(url, '^https?://[^/?#]+/[^/?#]+/([^/?#]+)', 1), '[.]git$', ''), '') AS name, TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)(?:[/?#.]|$)', 1), '') AS BIGINT) AS number FROM pages""")
@@ -440,11 +458,17 @@ def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot("label", langs, "lang", "n").filter("n IS NOT NULL")
 
 
-@query("""SELECT v.label, count(*) AS n, round(avg(list_cosine_similarity(v.embedding::DOUBLE[], c.embedding::DOUBLE[])), 4) AS mean_cosine, round(max(list_cosine_similarity(v.embedding::DOUBLE[], c.embedding::DOUBLE[])), 4) AS best
-FROM embeddings v JOIN (SELECT label, embedding FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) c USING (label) GROUP BY v.label""")
+@query("""WITH first AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS s FROM embeddings GROUP BY label),
+c AS (SELECT label, vec_id % 3 = 0 AS same, e.embedding::DOUBLE[] AS v, s, list_cosine_similarity(e.embedding::DOUBLE[], s) AS x FROM embeddings e JOIN first USING (label)),
+t AS (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY x DESC) AS r FROM c),
+m AS (SELECT label, list(a ORDER BY i) AS mean FROM (SELECT label, i, avg(y) AS a FROM (SELECT label, unnest(v) AS y, unnest(range(len(v))) AS i FROM c) GROUP BY label, i) GROUP BY label)
+SELECT label, round(max(x), 4) AS best, round((SELECT avg(x) FROM t WHERE t.label = c.label AND r <= 3), 4) AS mean_top3, round(max(x) - coalesce((SELECT max(x) FROM t WHERE t.label = c.label AND r = 2), 0), 4) AS margin, round(avg(x), 4) AS candidate_mean,
+  round(list_cosine_similarity(any_value(s), any_value(mean)), 4) AS centroid, round(coalesce(max(x) FILTER (same), 0), 4) AS same_file_best, round(coalesce(max(x) FILTER (NOT same), 0), 4) AS cross_file_best, count(*) AS n_candidates,
+  round(avg((x >= 0.6)::INT), 4) AS above_60, round(avg((x >= 0.7)::INT), 4) AS above_70, round(avg((x >= 0.8)::INT), 4) AS above_80 FROM c JOIN m USING (label) GROUP BY label""")
 def embedding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines of vectors with the first of their label."""
+    """The first vector of each label is the suggestion, all of the label are its candidates."""
     v = table(spark, sf_dir, "embeddings")
-    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c"))
-    cos = stats.cosine(F.col("embedding"), F.col("c"))
-    return v.join(first, "label").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(cos), 4).alias("mean_cosine"), F.round(F.max(cos), 4).alias("best"))
+    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("suggestion"))
+    n_dims = v.agg(F.max(F.size("embedding"))).first()[0] or 1
+    made = stats.embedding_features(v.join(first, "label").withColumn("same", F.col("vec_id") % 3 == 0), ["label"], "suggestion", "embedding", "same", n_dims)
+    return made.select("label", "n_candidates", *[F.round(c, 4).alias(c) for c in made.columns if c not in ("label", "n_candidates")])

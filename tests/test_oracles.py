@@ -5,6 +5,7 @@ from oracle import assert_same, connect
 
 import patchlake.plans.assess_queries  # noqa: F401  (registers its queries)
 import patchlake.plans.record_queries  # noqa: F401  (registers its queries)
+import patchlake.plans.split_queries  # noqa: F401  (registers its queries)
 from patchlake.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
