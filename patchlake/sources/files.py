@@ -80,16 +80,25 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     publish(df.sparkSession, lambda at: jsonl_lines(df).write.text(at), path)
 
 
+# What stands for a null in CSV; a text of backslashes and N that could be taken for one has a backslash more in the file.
+_NULL, _LIKE_NULL = "\\N", r"^\\+N$"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """With a header, columns in order of name; nulls stay apart from empty texts."""
-    ordered = df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    publish(df.sparkSession, lambda at: ordered.write.option("header", True).option("nullValue", "\\N").option("emptyValue", "\"\"").option("escape", '"').csv(at), path)
+    """With a header, columns in order of name; nulls stay apart from empty texts, white space at the ends is kept."""
+    names = sorted(df.columns)
+    text = {c: F.col(f"`{c}`") for c in names if df.schema[c].dataType.simpleString() == "string"}
+    ordered = df.select(*[F.when(text[c].rlike(_LIKE_NULL), F.concat(F.lit("\\"), text[c])).otherwise(text[c]).alias(c) if c in text else F.col(f"`{c}`") for c in names])
+    writer = {"header": True, "nullValue": _NULL, "emptyValue": '""', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+    publish(df.sparkSession, lambda at: ordered.write.options(**writer).csv(at), path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """By the header's names; all texts without a schema."""
-    reader = spark.read.option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').option("multiLine", True).option("mode", "FAILFAST")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    reader = spark.read.option("header", True).option("nullValue", _NULL).option("emptyValue", "").option("escape", '"').option("multiLine", True).option("mode", "FAILFAST")
+    rows = (reader.schema(schema) if schema else reader).csv(path)
+    text = {f.name: F.col(f"`{f.name}`") for f in rows.schema if f.dataType.simpleString() == "string"}
+    return rows.select(*[F.when(text[c].rlike(_LIKE_NULL), F.substring(text[c], 2, 2**31 - 1)).otherwise(text[c]).alias(c) if c in text else F.col(f"`{c}`") for c in rows.columns])
 
 
 def split_issues(rows: DataFrame, key: str, split: str, known: Sequence[str]) -> DataFrame:

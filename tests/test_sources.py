@@ -35,6 +35,13 @@ def test_staged_output(spark, tmp_path):
     assert files.jsonl_lines(df).first().value == '{"a":"a \\"b\\", c\\nd","b":null,"n":1}'
 
 
+def test_csv_keeps_texts_as_they_are(spark, tmp_path):
+    odd = [" lead", "trail ", "\ttab\t", " ", "\r\n", "a\n", "\na", "a\rb", "\\N", "\\\\N", "\\", "\x00", "\\\n", '"', "", None, "#x"]
+    df = spark.createDataFrame(list(enumerate(odd)), "n int, t string")
+    files.write_csv(df, str(tmp_path / "odd"))
+    assert {r.n: r.t for r in files.read_csv(spark, str(tmp_path / "odd"), df.schema).collect()} == dict(enumerate(odd))
+
+
 def test_hashes_against_a_manifest(spark, tmp_path):
     for name, text in (("a", "one"), ("b", "two"), ("c", "x")):
         (tmp_path / name).write_text(text)
