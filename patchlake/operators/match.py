@@ -6,11 +6,16 @@ meets the k-th landed one by an equi-join: no loops, no many-to-many blow-up.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import parse
+from .pairs import over_texts
+
 
 def _numbered(units: DataFrame, on: list[str], side: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*on).orderBy("unit"))
@@ -42,6 +47,91 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.rint(100.0 * part / whole)).cast("int")
 
 
+class Unit(NamedTuple):
+    unit: int
+    kind: str
+    path: str
+    text: str
+
+
+def units_of(text: str | None) -> list[Unit]:
+    """The change units of a diff's text, as ``diff.change_units`` makes them: of each file its rename, then its lines."""
+    files: dict[int, list[tuple[str, str, str]]] = {}
+    moved: dict[int, tuple[str | None, str | None]] = {}
+    for r in parse.rows(text):
+        if r.file:
+            moved[r.file] = r.rename_from, r.rename_to
+            some = files.setdefault(r.file, [])
+            if r.kind in ("addition", "deletion") and (said := parse.collapsed(r.line[1:])):
+                some.append((r.kind, r.path or "unknown", said))
+    out: list[Unit] = []
+    for file, some in files.items():
+        old, new = moved[file]
+        if old is not None and new is not None:
+            some = [("rename", new, parse.collapsed(f"{old} -> {new}")), *some]
+        out += [Unit(len(out) + n, *x) for n, x in enumerate(some, 1)]
+    return out
+
+
+def matched(suggested: Sequence[Unit], landed: Sequence[Unit]) -> dict[int, tuple[Unit, str]]:
+    """Landed unit and scope by suggested unit; k-th occurrences meet, first within kind, text and path, then within kind and text."""
+    out: dict[int, tuple[Unit, str]] = {}
+    free = list(landed)
+    for scope, key in (("strict_same_file", lambda u: u[1:]), ("relaxed_cross_file", lambda u: (u.kind, u.text))):
+        waiting: dict[object, deque[Unit]] = defaultdict(deque)
+        for u in free:
+            waiting[key(u)].append(u)
+        for u in suggested:
+            if u.unit not in out and (some := waiting.get(key(u))):
+                out[u.unit] = some.popleft(), scope
+        taken = {u.unit for u, _ in out.values()}
+        free = [u for u in free if u.unit not in taken]
+    return out
+
+
+_UNIT = [("unit", "long"), ("kind", "string"), ("path", "string"), ("text", "string"), ("landed_unit", "long"), ("landed_path", "string"), ("scope", "string")]
+
+
+def units_of_texts(pairs: DataFrame, keys: Sequence[str], suggested: str = "suggested", landed: str = "landed") -> DataFrame:
+    """(keys, unit, kind, path, text, landed_unit, landed_path, scope): each suggested unit with the landed one it meets, or nulls.
+
+    From the diffs' texts in one row, so each is parsed once and nothing is shuffled.
+    """
+
+    def make(s: str | None, l: str | None) -> Iterator[tuple[object, ...]]:
+        own = units_of(s)
+        found = matched(own, units_of(l))
+        for u in own:
+            met, scope = found.get(u.unit, (None, None))
+            yield (*u, met and met.unit, met and met.path, scope)
+
+    return over_texts(pairs, keys, [suggested, landed], _UNIT, make)
+
+
+def matches_of_texts(pairs: DataFrame, keys: Sequence[str], suggested: str = "suggested", landed: str = "landed") -> DataFrame:
+    """``match_units`` from the texts of both diffs of a row."""
+    some = units_of_texts(pairs, keys, suggested, landed).filter("scope IS NOT NULL")
+    return some.select(*keys, "kind", "text", F.col("unit").cast("int").alias("suggested_unit"), F.col("landed_unit").cast("int").alias("landed_unit"), F.col("path").alias("suggested_path"), "landed_path", "scope")
+
+
+_COUNTS = ("total_units", "suggested_additions", "suggested_deletions", "suggested_renames", "strict_units", "relaxed_units", "moved_units")
+
+
+def coverage_of_texts(pairs: DataFrame, keys: Sequence[str], suggested: str = "suggested", landed: str = "landed") -> DataFrame:
+    """``coverage`` from the texts of both diffs of a row."""
+
+    def make(s: str | None, l: str | None) -> Iterator[tuple[int, ...]]:
+        own = units_of(s)
+        found = matched(own, units_of(l))
+        kinds, scopes = Counter(u.kind for u in own), Counter(scope for _, scope in found.values())
+        yield len(own), kinds["addition"], kinds["deletion"], kinds["rename"], scopes["strict_same_file"], scopes["relaxed_cross_file"], sum(u.path != found[u.unit][0].path for u in own if u.unit in found)
+
+    n = over_texts(pairs, keys, [suggested, landed], [(c, "long") for c in _COUNTS], make)
+    share = lambda part: percent(part, F.col("total_units"))
+    strict, relaxed = F.col("strict_units"), F.col("relaxed_units")
+    return n.select(*keys, *_COUNTS, share(strict).alias("strict_percentage"), share(relaxed).alias("relaxed_percentage"), share(strict + relaxed).alias("coverage_percentage"))
+
+
 def coverage(pairs: DataFrame, suggested: DataFrame, matches: DataFrame, keys: Sequence[str], valid: str | None = None) -> DataFrame:
     """Counts and percentages of matched units of each pair; none are matched where ``valid`` is false."""
     keys = list(keys)
