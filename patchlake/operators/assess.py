@@ -15,13 +15,15 @@ All windows are partitioned by the diff's key and more, so one shuffle serves th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import parse
 from ..functions import text as T
 from . import diff
+from .pairs import over_texts
 
 # The codes of diagnostics and what they say.
 MESSAGES = {
@@ -177,17 +179,25 @@ def diagnostics(diffs: DataFrame, keys: Sequence[str], text: str = "diff", fragm
 
 def shape_issues(diffs: DataFrame, keys: Sequence[str], text: str = "diff") -> DataFrame:
     """(keys, issues): why suggestions of this shape can't be scored, in a fixed order; none for those that can."""
+
+    def make(some: str | None) -> Iterator[tuple[object, ...]]:
+        paths, removes, hunks, moved = set(), False, set(), {}
+        for r in parse.rows(some):
+            if not r.file:
+                continue
+            moved[r.file] = r.rename_from is not None or r.rename_to is not None
+            if r.kind in ("addition", "deletion", "context"):
+                hunks.add((r.file, r.hunk))
+                if r.kind != "context" and r.line[1:].strip():
+                    if r.kind == "deletion":
+                        removes = True
+                    elif r.new_path is not None:
+                        paths.add(r.new_path)
+        yield not (some or "").strip(), len(paths), removes, len(hunks), any(moved.values())
+
     keys = list(keys)
-    rows = diff.read_rows(diffs, keys, text)
-    some = T.strip(F.col("text")) != ""
-    lines = diff.diff_lines(rows, keys).groupBy(*keys).agg(
-        F.count_distinct(F.when((F.col("operation") == "addition") & some, F.col("path"))).alias("n_added"),
-        F.bool_or((F.col("operation") == "deletion") & some).alias("removes"),
-    )
-    files = diff.diff_files(rows, keys).groupBy(*keys).agg(F.sum("n_hunks").alias("hunks"), F.bool_or(F.coalesce("rename_from", "rename_to").isNotNull()).alias("renames"))
-    all_ = diffs.select(*keys, _blank(_whole_text(diffs, text)).alias("is_blank")).join(lines, keys, "left").join(files, keys, "left")
-    n = F.coalesce("n_added", F.lit(0))
-    why = [(F.col("is_blank"), EMPTY), (n == 0, NOTHING_ADDED), (F.col("removes"), REMOVES), (n > 1, MANY_FILES), (F.col("hunks") > 1, MANY_HUNKS), (F.col("renames"), RENAMES)]
+    all_ = over_texts(diffs, keys, [text], [("is_blank", "boolean"), ("n", "long"), ("removes", "boolean"), ("hunks", "long"), ("renames", "boolean")], make)
+    why = [(F.col("is_blank"), EMPTY), (F.col("n") == 0, NOTHING_ADDED), (F.col("removes"), REMOVES), (F.col("n") > 1, MANY_FILES), (F.col("hunks") > 1, MANY_HUNKS), (F.col("renames"), RENAMES)]
     return all_.select(*keys, F.array_compact(F.array(*[F.when(test, said) for test, said in why])).alias("issues"))
 
 

@@ -73,3 +73,12 @@ def test_components_read_their_rows_once(spark):
     rows = spark.range(0, 50, 1, 2).select("id", (F.col("id") % 5).cast("string").alias("a"), F.when(F.col("id") < 2, "x").alias("b"))
     made = {r.id: r.component for r in groups.components(rows.mapInArrow(seen, rows.schema), "id", ["a", "b"]).collect()}
     assert made == {i: 0 if i % 5 < 2 else i % 5 for i in range(50)} and reads.value == 50
+
+
+def test_shapes_need_no_shuffle(spark):
+    from patchlake.operators import assess
+
+    few = spark.createDataFrame([(1, None), (2, "--- a/x\n+++ b/x\n@@\n+a\n-b\n@@\n+c"), (3, "diff --git a/o b/n\nrename from o\nrename to n\n@@\n+y\n--- a/p\n+++ b/p\n@@\n+ "), (4, "--- a/x\n+++ b/x\n@@\n c\n+a")], "id long, diff string")
+    made = assess.shape_issues(few, ["id"])
+    assert {r.id: r.issues for r in made.collect()} == {1: [assess.EMPTY, assess.NOTHING_ADDED], 2: [assess.REMOVES, assess.MANY_HUNKS], 3: [assess.MANY_HUNKS, assess.RENAMES], 4: []}
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
