@@ -15,6 +15,7 @@ All windows are partitioned by the diff's key and more, so one shuffle serves th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -177,6 +178,146 @@ def diagnostics(diffs: DataFrame, keys: Sequence[str], text: str = "diff", fragm
     return found.unionByName(others).select(*keys, "nth", "code", says[c("code")].alias("message"), "line_number", "file_path", "hunk_index")
 
 
+_COUNTED_LINE = re.compile(parse.HUNK.pattern + r"(?: .*)?\Z")
+_OPEN_END = re.compile(r' "(?:\\.|[^"\\])*"\Z')
+
+
+def _git_paths(line: str) -> tuple[bool, str | None, str | None]:
+    """Whether a header's paths are in order, and both of them; sides that the line leaves open are none."""
+    sides = [None if x is None else parse.clean_path(x) for x in parse.header_sides(line)]
+    named = [None if x is None or not parse.is_diff_path(x) else parse.stripped_path(x) for x in sides]
+    good = None not in named
+    left_open = sides[0] is None and line.startswith("diff --git a/") and ((" b/" in line and not line.endswith(" b/")) or _OPEN_END.search(line) is not None)
+    return good or left_open, named[0] if good else None, named[1] if good else None
+
+
+class _Section:
+    """A file's section: its paths so far, and where its markers, renames and hunks stand."""
+
+    def __init__(self, own: tuple[str | None, str | None]):
+        self.own = own
+        self.old = self.new = self.old_at = self.new_at = self.from_at = self.to_at = None
+        self.hunks = 0
+
+    @property
+    def path(self) -> str | None:
+        return self.old if self.new is None else self.new
+
+
+def faults(text: str, fragment: bool) -> list[tuple[str, int, str | None, int | None]]:
+    """(code, line, path, hunk) of all that is wrong with a diff that isn't blank, in order of reading; by the rules of ``_read``."""
+    told: list[tuple[int, int, str, int, str | None, int | None]] = []
+    section, counts, prior, nth = _Section((None, None)), None, None, -1
+    in_hunk = ended = over = False
+    head_at = olds = news = 0
+
+    def end_hunk(at: int) -> None:
+        if in_hunk and not ended and counts is not None and (olds < counts[1] or news < counts[3]):
+            told.append((at + 1, 0, "incomplete_hunk", head_at, section.path, section.hunks))
+
+    def end_section(at: int) -> None:
+        if section.hunks == 0:
+            if (section.old_at is None) != (section.new_at is None):
+                told.append((at + 1, 1, "missing_file_marker_pair", section.new_at if section.old_at is None else section.old_at, section.path, None))
+            elif section.old_at is not None:
+                told.append((at + 1, 2, "missing_hunk", section.new_at, section.path, None))
+        if (section.from_at is None) != (section.to_at is None):
+            told.append((at + 1, 3, "partial_rename_metadata", section.to_at if section.from_at is None else section.from_at, section.path, None))
+
+    at = 0
+    for at, line in enumerate(text.splitlines(), 1):
+        git, header = line.startswith("diff --git"), line.startswith("@@")
+        marker = line.startswith(("---", "+++"))
+        first = line[:1]
+        if git:
+            end_hunk(at - 1)
+            if at > 1:
+                end_section(at - 1)
+            in_hunk, counts = False, None
+            ok, old, new = _git_paths(line)
+            section = _Section((old, new))
+            section.old, section.new = old, new
+            if not ok:
+                told.append((at, 4, "malformed_git_header", at, None, None))
+            prior = "git"
+            continue
+        if header:
+            end_hunk(at - 1)
+            counted = _COUNTED_LINE.match(line) is not None
+            in_hunk, ended, over, head_at, olds, news = True, False, False, at, 0, 0
+            counts = parse.hunk_counts(line) if counted else None
+            section.hunks += 1
+            if section.hunks == 1 and (section.old_at is None or section.new_at is None):
+                told.append((at, 5, "missing_file_marker_pair", at, section.path, section.hunks))
+            if not counted and not (fragment and line == "@@"):
+                told.append((at, 6, "malformed_hunk_header", at, section.path, section.hunks))
+            prior = "hunk"
+            continue
+        if in_hunk and not ended and marker and (counts is None or (olds >= counts[1] and news >= counts[3])):
+            end_hunk(at - 1)
+            ended = True
+        body = in_hunk and not ended
+        on_old, on_new = first in ("-", " ") and first != "", first in ("+", " ") and first != ""
+        if body:
+            olds, news = olds + on_old, news + on_new
+            if not (first and first in "-+ ") and line != r"\ No newline at end of file":
+                told.append((at, 7, "invalid_hunk_body_line", at, section.path, section.hunks))
+            if not over and counts is not None and (on_old or on_new) and (olds > counts[1] or news > counts[3]):
+                over = True
+                told.append((at, 7, "overflowing_hunk", at, section.path, section.hunks))
+            continue
+        if marker:
+            clean, is_old = parse.clean_path(line[4:]), first == "-"
+            sign, prefix = ("--- ", "a/") if is_old else ("+++ ", "b/")
+            if not (line.startswith(sign) and (clean == "/dev/null" or (clean.startswith(prefix) and len(clean) > 2))):
+                told.append((at, 4, "invalid_file_marker", at, section.path, None))
+                continue
+            event, named = "old" if is_old else "new", parse.stripped_path(clean)
+            nth = 0 if prior in (None, "git", "hunk", event) else nth + 1
+            if nth % 2 == 0 and not (nth == 0 and prior in (None, "git")):
+                if at > 1:
+                    end_section(at - 1)
+                section = _Section((None, None))
+            before = section.path
+            if is_old:
+                section.old, section.old_at = named, at
+            else:
+                section.new, section.new_at = named, at
+                if section.old_at is None:
+                    told.append((at, 5, "reordered_file_markers", at, before if named is None else named, None))
+            own = section.own[0 if is_old else 1]
+            if named is not None and own is not None and named != own:
+                told.append((at, 6, "conflicting_file_path", at, named, None))
+            prior = event
+        elif line.startswith("rename from "):
+            section.old, section.from_at = parse.stripped_path(parse.clean_path(line[12:])), at
+        elif line.startswith("rename to "):
+            section.new, section.to_at = parse.stripped_path(parse.clean_path(line[10:])), at
+    end_hunk(at)
+    if at:
+        end_section(at)
+    return [x[2:] for x in sorted(told, key=lambda x: x[:2])]
+
+
+_BEGUN = ("diff --git", "---", "+++", "rename from ", "rename to ", "@@")
+
+
+def diagnostics_of_texts(diffs: DataFrame, keys: Sequence[str], text: str = "diff", fragment: bool = False) -> DataFrame:
+    """``diagnostics`` by a walk over each text: nothing is shuffled or sorted, and a task holds a few diffs."""
+
+    def make(some: str | None) -> Iterator[tuple[object, ...]]:
+        if not (some or "").strip():
+            yield 1, "empty_input", MESSAGES["empty_input"], None, None, None
+        else:
+            found = faults(some, fragment)
+            if not any(x.startswith(_BEGUN) for x in some.splitlines()):
+                found = [*found, ("non_diff_input", 1, None, None)]
+            for n, (code, line, path, hunk) in enumerate(found, 1):
+                yield n, code, MESSAGES[code], line, path, hunk
+
+    return over_texts(diffs, keys, [text], [("nth", "int"), ("code", "string"), ("message", "string"), ("line_number", "long"), ("file_path", "string"), ("hunk_index", "long")], make)
+
+
 def shape_issues(diffs: DataFrame, keys: Sequence[str], text: str = "diff") -> DataFrame:
     """(keys, issues): why suggestions of this shape can't be scored, in a fixed order; none for those that can."""
 
@@ -205,7 +346,7 @@ def support_state(diffs: DataFrame, keys: Sequence[str], text: str = "diff", sou
     """(keys, status, reasons): invalid, valid_but_unsupported (suggestions alone) or valid, and why."""
     keys, suggested = list(keys), source == "suggested_diff"
     said = F.concat(F.lit(f"{source} is invalid ["), F.col("code"), F.lit("]: "), F.col("message"))
-    wrong = diagnostics(diffs, keys, text, suggested).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", said.alias("said")))), lambda x: x["said"]).alias("wrong"))
+    wrong = diagnostics_of_texts(diffs, keys, text, suggested).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", said.alias("said")))), lambda x: x["said"]).alias("wrong"))
     nothing = F.array().cast("array<string>")
     shapes = shape_issues(diffs, keys, text) if suggested else diffs.select(*keys, nothing.alias("issues"))
     both = shapes.join(wrong, keys, "left").withColumn("wrong", F.coalesce("wrong", nothing))

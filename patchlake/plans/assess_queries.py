@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assess, diff
-from .derived import WORLD, diff_pairs, table
+from .derived import WORLD, diff_pairs, spread_documents, table
 from .queries import KEY, query
 
 
 def faulty_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, diff): each document's lines added to a file, in thirteen ways, twelve of them faulty."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("l"), F.concat("source", F.lit("/f"), (F.col("doc_id") % 7).cast("string"), F.lit(".txt")).alias("p"))
+    d = spread_documents(spark, sf_dir).select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("l"), F.concat("source", F.lit("/f"), (F.col("doc_id") % 7).cast("string"), F.lit(".txt")).alias("p"))
     p, n, way = F.col("p"), F.size("l"), F.col("doc_id") % 13
     added = F.array_join(F.transform("l", lambda x: F.concat(F.lit("+"), x)), "\n")
     words = F.array_join(F.transform("l", lambda x: F.concat(F.lit("| "), x)), "\n")
@@ -38,7 +38,7 @@ w(way, nth, code, line, more, path, hunk) AS (VALUES (1, 1, 'empty_input', NULL,
   (11, 1, 'conflicting_file_path', 3, 0, 'other', NULL), (11, 2, 'partial_rename_metadata', 2, 0, 'p', NULL), (12, 1, 'invalid_hunk_body_line', 4, 0, 'p', 1))
 SELECT doc_id, CAST(nth AS INT) AS nth, code, CAST(line + more * n AS BIGINT) AS line_number, CASE WHEN path = 'p' THEN p ELSE path END AS file_path, CAST(hunk AS BIGINT) AS hunk_index FROM d JOIN w ON doc_id % 13 = way""")
 def diff_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess.diagnostics(faulty_diffs(spark, sf_dir), KEY).select("doc_id", F.col("nth").cast("int").alias("nth"), "code", "line_number", "file_path", "hunk_index")
+    return assess.diagnostics_of_texts(faulty_diffs(spark, sf_dir), KEY).select("doc_id", F.col("nth").cast("int").alias("nth"), "code", "line_number", "file_path", "hunk_index")
 
 
 @query(WORLD + f""", s AS (SELECT doc_id, coalesce(bool_or(op = 'addition' AND trim(line) <> ''), false) AS adds, coalesce(bool_or(op = 'deletion' AND trim(line) <> ''), false) AS removes FROM sug GROUP BY doc_id)

@@ -82,3 +82,15 @@ def test_shapes_need_no_shuffle(spark):
     made = assess.shape_issues(few, ["id"])
     assert {r.id: r.issues for r in made.collect()} == {1: [assess.EMPTY, assess.NOTHING_ADDED], 2: [assess.REMOVES, assess.MANY_HUNKS], 3: [assess.MANY_HUNKS, assess.RENAMES], 4: []}
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_faults_of_texts(spark):
+    from patchlake.operators import assess
+
+    more = ["diff --gitx", "---", "@@ -1 +1 @@f", "diff --git a/x y b/x y", *PIECES]
+    rng = random.Random(6)
+    texts = ["\n".join(rng.choices(more, k=rng.randint(0, 14))) for _ in range(500)] + [None, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, diff string")
+    for fragment in (False, True):
+        assert _rows(assess.diagnostics_of_texts(df, ["id"], "diff", fragment)) == _rows(assess.diagnostics(df, ["id"], "diff", fragment))
+    assert "Exchange" not in assess.diagnostics_of_texts(spark.createDataFrame([(1, "")], df.schema), ["id"])._jdf.queryExecution().executedPlan().toString()
